@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, fingerprint, gif, mixing, toxicity
+from quarry.llm import bpe, fingerprint, gif, jaccard, mixing, toxicity
 from quarry.llm.common import table
 
 
@@ -50,12 +50,16 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "copies", "taken")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_gif_media, op3_byte_bpe, op4_toxicity, op7_mix_sources, op10_fingerprint)
+    f.__name__: f for f in (op2_gif_media, op3_byte_bpe, op4_toxicity, op7_mix_sources, op9_ngram_jaccard, op10_fingerprint)
 }
 
 ORACLE: dict[str, str] = {"op7_mix_sources": mixing.ORACLE}
