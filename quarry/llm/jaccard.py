@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, store, utf8
+from quarry.llm.common import release, slices, store, utf8
 from quarry.llm.components import components
 from quarry.llm.words import mix, shingle_sets
 
@@ -150,6 +150,7 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[Da
     table = table.withColumn("last", F.lag("id").over(column)).filter("last is null or last <> id")
     table = table.select("shingle", "id", "n", "place", *(F.lag(c).over(column).alias(f"last_{c}") for c in ("id", "n", "place")), *(F.first(c).over(column).alias(f"first_{c}") for c in ("id", "n", "place")), F.lead("id").over(column).alias("following"))
     table = store(table.filter("last_id is not null or following is not null").drop("following"), "incidence")
+    release(docs.sparkSession)
     tries = [table.filter(_possible("n", "place", f"{x}_n", f"{x}_place", percent)).select(F.col("id").alias("a"), F.col(f"{x}_id").alias("b")) for x in ("last", "first")]
     first = store(_ordered(tries[0].union(tries[1])), "pairs")
     # full sets are made for one document of each set that shares a column
@@ -158,7 +159,9 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[Da
     known = docs.join(chosen.select("doc_id"), "doc_id", "left_semi")
     nameless = docs.filter("doc_id is null")
     sets = store(sets_of(known.unionByName(nameless), size).join(shared, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    release(docs.sparkSession)
     found = store(_linked(first, sets, percent), "links")
+    release(docs.sparkSession)
     inside = components(found)
     marked = table.select("shingle", "id", "n", "place").join(inside.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = marked.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")

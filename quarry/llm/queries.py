@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, fingerprint, gif, jaccard, mixing, toxicity
+from quarry.llm import bpe, fingerprint, gif, jaccard, lines, mixing, toxicity
 from quarry.llm.common import table
 
 
@@ -18,6 +18,12 @@ def rank_file() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, how many go, and the SHA-256 of what stays."""
+    kept = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digest(table(spark, sf_dir, "documents"))
 
@@ -59,7 +65,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_gif_media, op3_byte_bpe, op4_toxicity, op7_mix_sources, op9_ngram_jaccard, op10_fingerprint)
+    f.__name__: f for f in (op1_line_dedup, op2_gif_media, op3_byte_bpe, op4_toxicity, op7_mix_sources, op9_ngram_jaccard, op10_fingerprint)
 }
 
 ORACLE: dict[str, str] = {"op7_mix_sources": mixing.ORACLE}
