@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, fingerprint, gif, jaccard, lines, mixing, toxicity
+from quarry.llm import automata, bpe, fingerprint, gif, jaccard, lines, mixing, suffix_array, toxicity
 from quarry.llm.common import table
 
 
@@ -51,6 +51,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "copies", "taken")
@@ -65,7 +73,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_gif_media, op3_byte_bpe, op4_toxicity, op7_mix_sources, op9_ngram_jaccard, op10_fingerprint)
+    f.__name__: f for f in (op1_line_dedup, op2_gif_media, op3_byte_bpe, op4_toxicity, op5_suffix_array, op6_substring_dedup, op7_mix_sources, op9_ngram_jaccard, op10_fingerprint)
 }
 
 ORACLE: dict[str, str] = {"op7_mix_sources": mixing.ORACLE}
