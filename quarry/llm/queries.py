@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import automata, bpe, fingerprint, gif, jaccard, lines, mixing, suffix_array, toxicity
+from quarry.llm import automata, bpe, fingerprint, gif, jaccard, lines, mixing, private, suffix_array, toxicity
 from quarry.llm.common import table
 
 
@@ -64,6 +64,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "copies", "taken")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    counts = [f"n_{k}" for k in private.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_discovered")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
@@ -73,7 +79,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_gif_media, op3_byte_bpe, op4_toxicity, op5_suffix_array, op6_substring_dedup, op7_mix_sources, op9_ngram_jaccard, op10_fingerprint)
+    f.__name__: f for f in (op1_line_dedup, op2_gif_media, op3_byte_bpe, op4_toxicity, op5_suffix_array, op6_substring_dedup, op7_mix_sources, op8_personal_data, op9_ngram_jaccard, op10_fingerprint)
 }
 
 ORACLE: dict[str, str] = {"op7_mix_sources": mixing.ORACLE}

@@ -32,9 +32,9 @@ def mix(a: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers 0 .. n-1 modulo 2 ** 64, and their inverses."""
     if len(_powers[0]) < n:
-        n = max(n, 2 * len(_powers[0]))
+        room = max(n, 2 * len(_powers[0]))
         for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(n, base, np.uint64)
+            p = np.full(room, base, np.uint64)
             p[0] = 1
             _powers[k] = np.multiply.accumulate(p)
     return _powers[0][:n], _powers[1][:n]
