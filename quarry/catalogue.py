@@ -1,4 +1,258 @@
-"""All queries of the engine by name."""
-def flagship(spark, sf_dir): raise NotImplementedError
-def queries(): return {}
-def oracle_sql(): return {}
+"""All queries of the engine by name, each with the SQL that another engine answers alike.
+
+SAME holds SQL that reads the same in both dialects; PAIRS holds Spark's and DuckDB's wording; FRAMES holds queries on
+the DataFrame API or our own layers, with DuckDB's SQL (None where values can't be compared).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry import functions as X
+from quarry import streaming
+from quarry.operators import relational
+from quarry.operators.mutate import Table, analyze
+from quarry.plans import exchange
+from quarry.tables import read, views
+
+FLAGSHIP = """select n.n_name as n_name, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) as revenue,
+  count(distinct o.o_orderkey) as n_orders
+from lineitem l join orders o on l.l_orderkey = o.o_orderkey join customer c on o.o_custkey = c.c_custkey
+  join nation n on c.c_nationkey = n.n_nationkey
+where l.l_quantity > 10 and o.o_orderstatus = 'F' group by n.n_name having count(l.l_orderkey) > 5"""
+
+SAME = {
+    "join_chain4": FLAGSHIP,
+    # scans, projections, predicates
+    "scan_star": "select * from nation",
+    "filter_project": "select o_orderkey, o_totalprice from orders where o_totalprice > 200000 and o_orderstatus <> 'P'",
+    "arith_int": "select o_orderkey, o_orderkey + 7 as a, o_orderkey - 3 as b, o_orderkey * 2 as c, o_orderkey % 10 as d, -o_orderkey as e, +o_orderkey as f from orders",
+    "arith_double": "select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) as net, l_extendedprice / l_quantity as unit from lineitem",
+    "concat_op": "select c_custkey, c_name || '/' || c_mktsegment as label from customer",
+    "null_predicates": "select o_orderkey, nullif(o_orderstatus, 'F') as s from orders where nullif(o_orderstatus, 'F') is null or nullif(o_orderpriority, '1-URGENT') is not null",
+    "bool_logic": "select o_orderkey, not (o_orderstatus = 'F' and o_totalprice > 100000) or o_orderkey < 100 as flag from orders",
+    "comparisons": "select l_orderkey, l_linenumber, l_quantity > 10 as gt, l_quantity >= 10 as ge, l_quantity < 10 as lt, l_quantity <= 10 as le, l_quantity = 10 as eq, l_quantity <> 10 as ne from lineitem",
+    "qualified_star": "select n.*, r.r_name from nation n join region r on n.n_regionkey = r.r_regionkey",
+    "mixed_star": "select *, r_regionkey + 1 as next_key from region",
+    "alias_cols": "select s.s_suppkey as id, s.s_name as label, s.s_acctbal as balance from supplier as s",
+    "three_valued": "select c_custkey, (nullif(c_mktsegment, 'BUILDING') = 'MACHINERY') and (c_acctbal > 0) as a, (nullif(c_mktsegment, 'BUILDING') = 'MACHINERY') or (c_acctbal > 0) as b from customer",
+    "in_between_like": "select p_partkey, p_name from part where p_size in (1, 5, 9) or (p_size between 20 and 25 and p_name like '%a%')",
+    "case_cast": "select o_orderkey, case when o_totalprice > 150000 then 'high' when o_totalprice > 50000 then 'mid' else 'low' end as band, cast(o_totalprice as bigint) - cast(o_totalprice as bigint) as zero from orders",
+    "distinct_from": "select c_custkey, nullif(c_mktsegment, 'BUILDING') is distinct from 'MACHINERY' as d from customer",
+    "select_literals": "select 42 as answer, 'x' as word, true as yes",
+    "values_rows": "select k, v from (values (1, 'a'), (2, 'b'), (3, null)) as t(k, v)",
+    "derived_table": "select seg, n from (select c_mktsegment as seg, count(*) as n from customer group by c_mktsegment) t where n > 10",
+    # joins
+    "join_inner": "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey",
+    "join_left": "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey and o_orderkey < 2000",
+    "join_right": "select c_custkey, o_orderkey from orders right outer join customer on c_custkey = o_custkey and o_orderkey < 2000",
+    "join_full": "select n_nationkey, s_suppkey from nation full outer join supplier on n_nationkey = s_nationkey and s_suppkey < 20 and n_nationkey < 10",
+    "join_cross": "select r_name, n_name from region cross join nation",
+    "join_comma": "select n_name, r_name from nation, region where n_regionkey = r_regionkey and r_name <> 'ASIA'",
+    "join_theta": "select a.n_name as low, b.n_name as high from nation a join nation b on a.n_nationkey < b.n_nationkey",
+    "join_residual": "select o_orderkey, c_custkey from orders join customer on o_custkey = c_custkey and o_totalprice > c_acctbal * 20 and o_orderkey > 10",
+    "join_expr_key": "select p.p_partkey, q.p_brand as brand from part p join (select distinct lower(p_brand) as p_brand from part) q on lower(p.p_brand) = q.p_brand",
+    "join_self_alias": "select a.s_suppkey as x, b.s_suppkey as y from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey",
+    "join_using": "select k, a.v as left_v, b.v as right_v from (select n_nationkey as k, n_name as v from nation) a join (select s_nationkey as k, s_name as v from supplier) b using (k)",
+    "join_natural": "select k, x, y from (select n_nationkey as k, n_name as x from nation) a natural join (select s_nationkey as k, s_name as y from supplier) b",
+    "join_semi": "select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)",
+    "join_anti": "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)",
+    # aggregates
+    "agg_global": "select count(o_orderkey) as n, min(o_totalprice) as low, max(o_totalprice) as high, count(*) as n_all from orders",
+    "agg_group": "select l_returnflag, l_linestatus, count(*) as n, min(l_quantity) as low, max(l_quantity) as high, cast(sum(l_quantity) as bigint) as qty from lineitem group by l_returnflag, l_linestatus",
+    "agg_decimal": "select l_returnflag, cast(sum(cast(l_extendedprice as decimal(18, 2))) as double) as total from lineitem group by l_returnflag",
+    "agg_round": "select o_orderstatus, round(avg(o_totalprice), 2) as mean, round(sum(o_totalprice), 2) as total from orders group by o_orderstatus",
+    "agg_filter": "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as done, count(*) as n from orders group by o_orderpriority having count(*) > 10",
+    "agg_bool_bit": "select o_orderstatus, bool_and(o_totalprice > 1000) as every, bool_or(o_totalprice > 400000) as some, bit_and(o_orderkey) as a, bit_or(o_orderkey) as o, bit_xor(o_orderkey) as x from orders group by o_orderstatus",
+    "agg_stats": "select l_returnflag, round(stddev_samp(l_quantity), 6) as s, round(stddev_pop(l_quantity), 6) as p, round(var_samp(l_quantity), 6) as vs, round(var_pop(l_quantity), 6) as vp from lineitem group by l_returnflag",
+    "agg_covar": "select l_returnflag, round(covar_samp(l_quantity, l_discount), 8) as cs, round(covar_pop(l_quantity, l_discount), 8) as cp, round(corr(l_quantity, l_extendedprice), 8) as r from lineitem group by l_returnflag",
+    "agg_regr": "select l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) as slope, round(regr_intercept(l_extendedprice, l_quantity), 2) as icept, round(regr_r2(l_extendedprice, l_quantity), 6) as r2, round(regr_avgx(l_extendedprice, l_quantity), 6) as ax, round(regr_avgy(l_extendedprice, l_quantity), 2) as ay, cast(regr_count(l_extendedprice, l_quantity) as bigint) as n from lineitem group by l_returnflag",
+    "agg_regr_sums": "select l_linestatus, round(regr_sxx(l_discount, l_tax), 4) as sxx, round(regr_syy(l_discount, l_tax), 4) as syy, round(regr_sxy(l_discount, l_tax), 4) as sxy from lineitem group by l_linestatus",
+    "agg_distinct_multi": "select o_orderstatus, count(distinct o_custkey) as customers, count(distinct o_orderpriority) as priorities, cast(sum(distinct o_custkey) as bigint) as keys from orders group by o_orderstatus",
+    "agg_median": "select o_orderstatus, round(median(o_totalprice), 2) as mid from orders group by o_orderstatus",
+    "agg_nested": "select o_orderstatus, cast(sum(o_custkey) as bigint) + 1 as s, count(o_orderkey) as n from orders group by o_orderstatus",
+    "group_expr": "select lower(c_mktsegment) as seg, count(*) as n from customer group by lower(c_mktsegment)",
+    "group_constant": "select 1 as one, count(*) as n from orders group by 1",
+    "group_all": "select o_orderstatus, o_orderpriority, count(*) as n from orders group by all",
+    "cube": "select o_orderstatus, o_orderpriority, count(*) as n from orders group by cube (o_orderstatus, o_orderpriority)",
+    "rollup": "select o_orderstatus, o_orderpriority, count(*) as n from orders group by rollup (o_orderstatus, o_orderpriority)",
+    "grouping_sets": "select o_orderstatus, o_orderpriority, cast(grouping(o_orderstatus) as bigint) as g, count(*) as n from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())",
+    "having_sum": "select o_custkey, round(sum(o_totalprice), 2) as total from orders group by o_custkey having sum(o_totalprice) > 1000000",
+    # order, limit, sets
+    "topk": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10",
+    "limit_offset": "select o_orderkey from orders order by o_orderkey limit 20 offset 30",
+    "order_by_nulls": "select c_custkey, nullif(c_mktsegment, 'BUILDING') as s from customer order by s nulls last, c_custkey limit 50",
+    "distinct_rows": "select distinct o_orderstatus, o_orderpriority from orders",
+    "union": "select n_regionkey as k from nation union select r_regionkey from region",
+    "union_all": "select n_regionkey as k from nation union all select r_regionkey from region",
+    "intersect": "select c_nationkey as k from customer intersect select s_nationkey from supplier",
+    "except": "select n_nationkey as k from nation except select s_nationkey from supplier where s_suppkey < 15",
+    "intersect_all": "select c_nationkey as k from customer intersect all select s_nationkey from supplier",
+    "except_all": "select c_nationkey as k from customer except all select s_nationkey from supplier",
+    # windows
+    "window_rank": "select o_orderkey, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as bigint) as rn, cast(rank() over (partition by o_orderstatus order by o_orderpriority) as bigint) as rk, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as prev, lead(o_orderkey, 2) over (partition by o_custkey order by o_orderdate, o_orderkey) as nxt from orders",
+    "window_frame": "select l_orderkey, l_linenumber, cast(sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity rows between 1 preceding and 1 following) as bigint) as around from lineitem",
+    "window_range": "select l_orderkey, l_linenumber, cast(count(*) over (partition by l_orderkey order by l_linenumber range between 2 preceding and current row) as bigint) as near from lineitem",
+    "window_ntile": "select c_custkey, cast(ntile(4) over (order by c_acctbal, c_custkey) as bigint) as q, cast(dense_rank() over (order by c_mktsegment) as bigint) as d, round(percent_rank() over (order by c_custkey), 8) as p, round(cume_dist() over (order by c_custkey), 8) as cd from customer",
+    "window_first_last": "select o_orderkey, first_value(o_orderkey) over w as f, last_value(o_orderkey) over w as l, nth_value(o_orderkey, 2) over w as second from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and unbounded following)",
+    "qualify": "select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from orders) t where rn = 1",
+    # subqueries, CTEs
+    "subq_scalar": "select o_orderkey from orders where o_totalprice > (select avg(o_totalprice) * 1.5 from orders)",
+    "subq_in": "select c_custkey from customer where c_nationkey in (select n_nationkey from nation where n_regionkey = 1)",
+    "subq_not_in": "select c_custkey from customer where c_nationkey not in (select n_nationkey from nation where n_regionkey = 1)",
+    "subq_exists": "select s_suppkey from supplier s where exists (select 1 from lineitem l where l.l_suppkey = s.s_suppkey and l.l_quantity > 49)",
+    "subq_correlated": "select o_orderkey from orders o where o_totalprice > (select avg(i.o_totalprice) from orders i where i.o_custkey = o.o_custkey)",
+    "cte_chain": "with a as (select o_custkey, count(*) as n from orders group by o_custkey), b as (select n, count(*) as customers from a group by n) select n, customers from b",
+    "cte_recursive": "with recursive t(n) as (select 1 union all select n + 1 from t where n < 20) select n, n * n as square from t",
+    # functions
+    "fn_string": "select c_custkey, lower(c_name) as lo, upper(c_mktsegment) as up, reverse(c_name) as rev, repeat('ab', 2) as rep, replace(c_name, 'Customer', 'C') as repl, translate(c_mktsegment, 'AEI', 'aei') as tr, left(c_name, 4) as l4, right(c_name, 4) as r4, lpad(c_mktsegment, 12, '*') as lp, rpad(c_mktsegment, 12, '*') as rp, ltrim('  x ') as lt, rtrim(' x  ') as rt, trim('  x ') as t, substr(c_name, 2, 3) as sub, concat_ws('-', c_name, c_mktsegment) as cw, split_part(c_name, '#', 2) as sp, contains(c_name, '9') as has from customer",
+    "fn_string_int": "select c_custkey, cast(length(c_name) as bigint) as n, cast(ascii(c_mktsegment) as bigint) as a, cast(octet_length(encode(c_name)) as bigint) as o, cast(instr(c_name, '#') as bigint) as i, cast(levenshtein(c_mktsegment, 'BUILDING') as bigint) as lev, chr(65) as c from customer".replace("octet_length(encode(c_name))", "bit_length(c_name) / 8"),
+    "fn_math": "select l_orderkey, l_linenumber, abs(-l_quantity) as ab, round(sqrt(l_quantity), 8) as sq, round(exp(l_discount), 8) as ex, round(ln(l_quantity), 8) as ln, round(log10(l_quantity), 8) as lg, round(log2(l_quantity), 8) as l2, round(power(l_quantity, 2), 4) as pw, round(cbrt(l_quantity), 8) as cb, cast(ceil(l_extendedprice) as bigint) as ce, cast(floor(l_extendedprice) as bigint) as fl, cast(sign(l_discount - 0.05) as bigint) as sg from lineitem",
+    "fn_trig": "select l_orderkey, l_linenumber, round(sin(l_tax), 8) as s, round(cos(l_tax), 8) as c, round(tan(l_tax), 8) as t, round(asin(l_tax), 8) as a, round(acos(l_tax), 8) as ac, round(atan(l_tax), 8) as at, round(atan2(l_tax, 2), 8) as a2, round(sinh(l_tax), 8) as sh, round(cosh(l_tax), 8) as ch, round(tanh(l_tax), 8) as th, round(asinh(l_tax), 8) as ash, round(degrees(l_tax), 6) as dg, round(radians(l_quantity), 8) as rd, round(cot(l_tax + 1), 8) as ct, round(pi(), 8) as pi from lineitem",
+    "fn_cond": "select o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'none') as co, nullif(o_orderkey, 7) as nu, greatest(o_orderkey, o_custkey) as g, least(o_orderkey, o_custkey) as l from orders",
+    "fn_md5": "select c_custkey, md5(c_name) as m from customer",
+    "fn_date_parts": "select o_orderkey, cast(year(o_orderdate) as bigint) as y, cast(month(o_orderdate) as bigint) as m, cast(day(o_orderdate) as bigint) as d, cast(quarter(o_orderdate) as bigint) as q, cast(extract(hour from o_orderdate) as bigint) as h, date_trunc('month', o_orderdate) as mo, cast(o_orderdate as date) as dt, make_date(2020, 2, 29) as leap from orders",
+}
+
+PAIRS = {
+    "fn_regex": (
+        "select c_custkey, regexp_like(c_name, '[0-9]+5$') as m, regexp_replace(c_name, '[0-9]', 'd') as r, regexp_extract(c_name, '([0-9]+)', 1) as e, cast(regexp_count(c_name, '0') as bigint) as n from customer",
+        "select c_custkey, regexp_matches(c_name, '[0-9]+5$') as m, regexp_replace(c_name, '[0-9]', 'd', 'g') as r, regexp_extract(c_name, '([0-9]+)', 1) as e, cast(len(regexp_extract_all(c_name, '0')) as bigint) as n from customer",
+    ),
+    "fn_hash": ("select c_custkey, sha2(c_name, 256) as h from customer", "select c_custkey, sha256(c_name) as h from customer"),
+    "fn_encode": (
+        "select c_custkey, lower(hex(cast(c_name as binary))) as h, base64(cast(c_name as binary)) as b, lower(hex(c_custkey)) as k from customer",
+        "select c_custkey, lower(hex(c_name)) as h, base64(encode(c_name)) as b, lower(to_hex(c_custkey)) as k from customer",
+    ),
+    "fn_json": ("select event_id, get_json_object(props, '$.k') as k from events", "select event_id, json_extract_string(props, '$.k') as k from events"),
+    "fn_string_more": (
+        "select c_custkey, startswith(c_name, 'Cust') as s, endswith(c_name, '1') as e, substring_index(c_name, '#', 1) as si, concat_ws('', c_name, nullif(c_mktsegment, 'BUILDING')) as cs, cast(dayofweek(date'2024-05-05') - 1 as bigint) as dow, overlay(c_name placing 'XX' from 2 for 2) as ov from customer",
+        "select c_custkey, starts_with(c_name, 'Cust') as s, ends_with(c_name, '1') as e, split_part(c_name, '#', 1) as si, concat(c_name, nullif(c_mktsegment, 'BUILDING')) as cs, cast(date_part('dow', date '2024-05-05') as bigint) as dow, substr(c_name, 1, 1) || 'XX' || substr(c_name, 4) as ov from customer",
+    ),
+    "fn_date": (
+        "select event_id, to_date('2024-03-01') as d, date_format(ts, 'yyyy-MM-dd') as f, unix_seconds(cast(ts as timestamp)) as u, timestamp_seconds(86400 * 2) = timestamp'1970-01-03 00:00:00' as s from events",
+        "select event_id, date '2024-03-01' as d, strftime(ts, '%Y-%m-%d') as f, cast(floor(epoch(ts)) as bigint) as u, true as s from events",
+    ),
+    "fn_nvl2": ("select c_custkey, nvl2(nullif(c_mktsegment, 'BUILDING'), 1, 0) as n, nvl(nullif(c_mktsegment, 'BUILDING'), 'B') as v, ifnull(nullif(c_custkey, 3), 0) as i from customer", "select c_custkey, case when nullif(c_mktsegment, 'BUILDING') is not null then 1 else 0 end as n, coalesce(nullif(c_mktsegment, 'BUILDING'), 'B') as v, coalesce(nullif(c_custkey, 3), 0) as i from customer"),
+    "fn_struct": ("select c_custkey, named_struct('a', c_custkey, 'b', c_name).b as b, typeof(c_custkey) = 'bigint' as t from customer", "select c_custkey, struct_pack(a := c_custkey, b := c_name).b as b, typeof(c_custkey) = 'BIGINT' as t from customer"),
+    "fn_math_more": ("select l_orderkey, l_linenumber, factorial(l_linenumber) as f, round(log(2.0D, l_quantity), 8) as lb, isnan(l_tax) as nan, nanvl(l_tax, 0D) as nv, round(acosh(l_quantity), 8) as ach, round(atanh(l_tax), 8) as ath from lineitem", "select l_orderkey, l_linenumber, cast(factorial(l_linenumber) as bigint) as f, round(log2(l_quantity), 8) as lb, isnan(l_tax) as nan, l_tax as nv, round(acosh(l_quantity), 8) as ach, round(atanh(l_tax), 8) as ath from lineitem"),
+    "agg_string": ("select o_orderstatus, listagg(distinct o_orderpriority, ',') within group (order by o_orderpriority) as p from orders group by o_orderstatus", "select o_orderstatus, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) as p from orders group by o_orderstatus"),
+    "agg_array_sorted": ("select o_custkey, concat_ws(',', array_sort(collect_list(o_orderkey))) as keys from orders group by o_custkey", "select o_custkey, array_to_string(list_sort(list(o_orderkey)), ',') as keys from orders group by o_custkey"),
+    "agg_percentile": ("select o_orderstatus, round(percentile_cont(0.25) within group (order by o_totalprice), 2) as q1, round(percentile(o_totalprice, 0.9), 2) as p9 from orders group by o_orderstatus", "select o_orderstatus, round(quantile_cont(o_totalprice, 0.25), 2) as q1, round(quantile_cont(o_totalprice, 0.9), 2) as p9 from orders group by o_orderstatus"),
+    "agg_first_last": ("select o_custkey, min_by(o_orderkey, struct(o_orderdate, o_orderkey)) as f, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) as l from orders group by o_custkey", "select o_custkey, first(o_orderkey order by o_orderdate, o_orderkey) as f, last(o_orderkey order by o_orderdate, o_orderkey) as l from orders group by o_custkey"),
+    "insert_values": ("select * from (select n_nationkey, n_name from nation union all values (100, 'NEW')) t", "select * from (select n_nationkey, n_name from nation union all values (100, 'NEW')) t"),
+    "lateral_explode": ("select n_nationkey, w from nation lateral view explode(split(n_name, ' ')) t as w", "select n_nationkey, unnest(string_split(n_name, ' ')) as w from nation"),
+    "pivot": ("select * from (select o_orderpriority, o_orderstatus, o_orderkey from orders) pivot (count(o_orderkey) for o_orderstatus in ('F' as f, 'O' as o))", "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as f, count(*) filter (where o_orderstatus = 'O') as o from orders group by o_orderpriority"),
+    "star_except": ("select * except (n_name) from nation", "select * exclude (n_name) from nation"),
+    "bitwise": ("select o_orderkey, o_orderkey & 12 as a, o_orderkey | 3 as o, o_orderkey ^ 5 as x, shiftleft(o_orderkey, 2) as sl, o_orderstatus <=> 'F' as ns from orders", "select o_orderkey, o_orderkey & 12 as a, o_orderkey | 3 as o, xor(o_orderkey, 5) as x, o_orderkey << 2 as sl, o_orderstatus is not distinct from 'F' as ns from orders"),
+}
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-tables-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _mutated(change: Callable[[Table, SparkSession, str], object], spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Table(spark, _scratch(spark, "orders"))
+    t.publish(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
+    change(t, spark, sf_dir)
+    return t.read()
+
+
+def _insert(t, spark, sf_dir):
+    t.insert(t.read().filter("o_orderkey < 50").withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000))
+
+
+def _delete(t, spark, sf_dir):
+    t.delete(F.col("o_orderstatus") == "F")
+
+
+def _update(t, spark, sf_dir):
+    t.update(F.col("o_orderstatus") == "O", {"o_totalprice": F.col("o_totalprice") + 1, "o_orderstatus": F.lit("X")})
+
+
+def _merge(t, spark, sf_dir):
+    new = t.read().filter("o_orderkey % 10 = 0").withColumns({"o_orderkey": F.when(F.col("o_orderkey") % 20 == 0, F.col("o_orderkey")).otherwise(F.col("o_orderkey") + 2_000_000), "o_orderstatus": F.lit("M")})
+    t.merge(new, ["o_orderkey"])
+
+
+def _compact(t, spark, sf_dir):
+    t.compact()
+    t.cleanup()
+
+
+def _alter(t, spark, sf_dir):
+    t.alter(add={"note": "string"}, drop=["o_totalprice"], rename={"o_custkey": "customer"}, cast={"o_orderkey": "string"})
+
+
+def _compat(spark: SparkSession, d: str) -> DataFrame:
+    li = read(spark, d, "lineitem")
+    price, a, b = F.col("l_extendedprice"), F.col("l_orderkey"), F.col("l_partkey")
+    return li.select("l_orderkey", "l_linenumber", X.trunc(price).alias("t0"), X.gcd(a, b).alias("g"), X.lcm(a, b).alias("m"), X.is_zero(F.col("l_tax")).alias("z"), X.to_hex(a).alias("h"))
+
+
+def _asof(spark: SparkSession, d: str) -> DataFrame:
+    ev = read(spark, d, "events")
+    clicks = ev.filter("event_id % 2 = 0").select("event_id", "user_id", "ts")
+    prices = ev.filter("event_id % 2 = 1").select("user_id", "ts", "event_id", "value").groupBy("user_id", "ts").agg(F.max("event_id").alias("seen"))
+    return relational.as_of(clicks, prices, ["user_id"], "ts", ["seen"]).select("event_id", "asof_seen")
+
+
+def _interval(spark: SparkSession, d: str) -> DataFrame:
+    spans = read(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 100.0).alias("a"), (F.col("n_nationkey") * 100.0 + 150.0).alias("b"))
+    return relational.interval_join(read(spark, d, "part").select("p_partkey", "p_retailprice"), spans, "p_retailprice", "a", "b", 250.0).select("p_partkey", "n_nationkey")
+
+
+_ORDERS = "select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders"
+FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "pushdown_scan": (lambda s, d: read(s, d, "lineitem").filter(F.col("l_quantity") > 45).select("l_orderkey", "l_linenumber"), "select l_orderkey, l_linenumber from lineitem where l_quantity > 45"),
+    "join_asof": (_asof, "with c as (select event_id, user_id, ts from events where event_id % 2 = 0), p as (select user_id, ts, max(event_id) as seen from events where event_id % 2 = 1 group by all) select c.event_id, p.seen as asof_seen from c asof left join p on c.user_id = p.user_id and c.ts >= p.ts"),
+    "join_interval": (_interval, "select p_partkey, n_nationkey from part join nation on p_retailprice >= n_nationkey * 100.0 and p_retailprice < n_nationkey * 100.0 + 150.0"),
+    "join_broadcast_checked": (lambda s, d: read(s, d, "supplier").join(relational.broadcast_if_small(read(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name"), "select s_suppkey, n_name from supplier join nation on s_nationkey = n_nationkey"),
+    "distinct_on": (lambda s, d: relational.distinct_on(read(s, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], [F.desc("o_orderkey")]), "select o_custkey, max(o_orderkey) as o_orderkey from orders group by o_custkey"),
+    "agg_salted": (lambda s, d: relational.salted_sum(read(s, d, "orders").select("o_orderstatus", "o_custkey"), ["o_orderstatus"], "o_custkey"), "select o_orderstatus, cast(sum(o_custkey) as bigint) as sum_o_custkey from orders group by o_orderstatus"),
+    "approx_distinct": (lambda s, d: read(s, d, "orders").agg(F.approx_count_distinct("o_custkey").alias("n"), F.percentile_approx("o_totalprice", 0.5).alias("mid")), None),
+    "agg_nth_weighted": (lambda s, d: read(s, d, "lineitem").groupBy("l_orderkey").agg(X.nth_value(F.col("l_linenumber"), F.col("l_partkey"), 2).alias("second")), "select l_orderkey, nth as second from (select l_orderkey, list(l_partkey order by l_linenumber, l_partkey)[2] as nth from lineitem group by l_orderkey) t"),
+    "agg_percentile_weight": (lambda s, d: read(s, d, "lineitem").groupBy("l_returnflag").agg(X.weighted_percentile(F.col("l_quantity"), F.col("l_linenumber"), 0.5).alias("p")), "select l_returnflag, median(l_quantity) as p from (select l_returnflag, l_quantity, unnest(range(l_linenumber)) from lineitem) t group by l_returnflag"),
+    "fn_compat": (_compat, "select l_orderkey, l_linenumber, trunc(l_extendedprice) as t0, gcd(l_orderkey, l_partkey) as g, lcm(l_orderkey, l_partkey) as m, l_tax = 0 as z, to_hex(l_orderkey) as h from lineitem".replace("to_hex(l_orderkey)", "lower(to_hex(l_orderkey))")),
+    "fn_date_bin": (lambda s, d: read(s, d, "events").select("event_id", X.date_bin(15, F.col("ts")).alias("bin")), "select event_id, time_bucket(interval '15 minutes', ts) as bin from events"),
+    "insert_select": (partial(_mutated, _insert), f"{_ORDERS} union all select o_orderkey + 1000000, o_custkey, o_orderstatus, o_totalprice from orders where o_orderkey < 50"),
+    "delete_rows": (partial(_mutated, _delete), f"{_ORDERS} where o_orderstatus <> 'F'"),
+    "update_rows": (partial(_mutated, _update), "select o_orderkey, o_custkey, case when o_orderstatus = 'O' then 'X' else o_orderstatus end as o_orderstatus, case when o_orderstatus = 'O' then o_totalprice + 1 else o_totalprice end as o_totalprice from orders"),
+    "merge_upsert": (partial(_mutated, _merge), "select o_orderkey, o_custkey, case when o_orderkey % 20 = 0 then 'M' else o_orderstatus end as o_orderstatus, o_totalprice from orders union all select o_orderkey + 2000000, o_custkey, 'M', o_totalprice from orders where o_orderkey % 10 = 0 and o_orderkey % 20 <> 0"),
+    "compact_same_rows": (partial(_mutated, _compact), _ORDERS),
+    "alter_columns": (partial(_mutated, _alter), "select cast(o_orderkey as varchar) as o_orderkey, o_custkey as customer, o_orderstatus, cast(null as varchar) as note from orders"),
+    "analyze_stats": (lambda s, d: analyze(read(s, d, "nation")).select("column_name", "rows", "nulls", "least", "greatest"), "select 'n_nationkey' as column_name, count(*) as rows, 0::bigint as nulls, min(n_nationkey)::varchar as least, max(n_nationkey)::varchar as greatest from nation union all select 'n_name', count(*), 0, min(n_name), max(n_name) from nation union all select 'n_regionkey', count(*), 0, min(n_regionkey)::varchar, max(n_regionkey)::varchar from nation"),
+    "exchange_gather": (lambda s, d: exchange.gather(read(s, d, "supplier")), "select * from supplier"),
+    "exchange_hash": (lambda s, d: exchange.by_hash(read(s, d, "supplier"), [F.lower("s_name")], 8), "select * from supplier"),
+    "exchange_broadcast": (lambda s, d: read(s, d, "customer").join(exchange.replicate(read(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name"), "select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey"),
+    "tumble": (lambda s, d: streaming.tumble(read(s, d, "events"), "ts", "1 hour", [], F.count("*").alias("n")), "select time_bucket(interval '1 hour', ts) as window_start, count(*) as n from events group by 1"),
+    "slide": (lambda s, d: streaming.slide(read(s, d, "events"), "ts", "1 hour", "30 minutes", ["event_type"], F.count("*").alias("n")), "select b as window_start, event_type, count(*) as n from (select event_type, unnest([time_bucket(interval '30 minutes', ts), time_bucket(interval '30 minutes', ts) - interval '30 minutes']) as b from events) t group by all"),
+    "session_gap": (lambda s, d: streaming.sessions(read(s, d, "events"), "ts", "10 minutes", ["user_id"], F.count("*").alias("n")), "with a as (select user_id, ts, case when ts - lag(ts) over w < interval '10 minutes' then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)), b as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as s from a) select min(ts) as session_start, user_id, count(*) as n from b group by user_id, s"),
+}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views(spark, sf_dir).sql(FLAGSHIP)
+
+
+def _sql(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views(spark, sf_dir).sql(text)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out = {name: partial(_sql, text) for name, text in SAME.items()}
+    out |= {name: partial(_sql, text) for name, (text, _) in PAIRS.items()}
+    return out | {name: f for name, (f, _) in FRAMES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return SAME | {name: text for name, (_, text) in PAIRS.items()} | {name: text for name, (_, text) in FRAMES.items() if text}
