@@ -34,20 +34,24 @@ _random = random.Random(7)
 MASKS = [_random.getrandbits(62) for _ in range(ROWS * BANDS)]
 
 
-def _units(line: Column) -> tuple[Column, Column]:
-    """The line's UTF-16 units (bytes), so that cutting costs the same anywhere, and its number of shingles."""
-    units = F.encode(line, "UTF-16BE")
-    return units, F.greatest(F.lit(1), (F.octet_length(units) / 2).cast("int") - SHINGLE + 1)
+def _units(line: Column) -> Column:
+    """The line's UTF-16 units as bytes, so that cutting costs the same anywhere. Select it before it is cut: an
+    expression within a lambda or beside an explode would be worked out again for each shingle."""
+    return F.encode(line, "UTF-16BE")
+
+
+def _places(units: str) -> Column:
+    """Where the shingles begin."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), (F.octet_length(units) / 2).cast("int") - SHINGLE + 1))
 
 
 def _hash(units: Column, place: Column) -> Column:
     return F.xxhash64(F.substring(units, place * 2 - 1, F.lit(2 * SHINGLE)))
 
 
-def shingles(line: Column) -> Column:
-    """Distinct shingle hashes of a line."""
-    units, n = _units(line)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: _hash(units, i)))
+def shingles(units: str) -> Column:
+    """Distinct shingle hashes of a line, given its units."""
+    return F.array_distinct(F.transform(_places(units), lambda i: _hash(F.col(units), i)))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -66,8 +70,8 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 def candidates(lines: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of lines that share a band. `lines` is dealt by lid, so minima need no further shuffle."""
-    units, n = _units(F.col("line"))
-    d = lines.select("lid", units.alias("units"), F.explode(F.sequence(F.lit(1), n)).alias("place"))
+    d = lines.select("lid", _units(F.col("line")).alias("units"))
+    d = d.select("lid", "units", F.explode(_places("units")).alias("place"))
     d = d.select("lid", _hash(F.col("units"), F.col("place")).alias("h"))
     d = d.withColumn("part", F.shiftrightunsigned("h", 62))
     minima = d.groupBy("lid", "part").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)))
@@ -81,8 +85,8 @@ def candidates(lines: DataFrame) -> DataFrame:
 
 def linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs whose exact similarity reaches the threshold."""
-    a, b = (lines.select(F.col("lid").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", shingles(F.col("line_a")).alias("x"), shingles(F.col("line_b")).alias("y"))
+    a, b = (lines.select(F.col("lid").alias(c), _units(F.col("line")).alias(f"units_{c}")) for c in "ab")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", shingles("units_a").alias("x"), shingles("units_b").alias("y"))
     both = both.filter(100 * F.least(F.size("x"), F.size("y")) >= PERCENT * F.greatest(F.size("x"), F.size("y")))
     both = both.withColumn("overlap", F.size(F.array_intersect("x", "y")))
     return both.filter(100 * F.col("overlap") >= PERCENT * (F.size("x") + F.size("y") - F.col("overlap"))).select("a", "b")
