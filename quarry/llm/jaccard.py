@@ -153,14 +153,7 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[Da
     release(docs.sparkSession)
     tries = [table.filter(_possible("n", "place", f"{x}_n", f"{x}_place", percent)).select(F.col("id").alias("a"), F.col(f"{x}_id").alias("b")) for x in ("last", "first")]
     first = store(_ordered(tries[0].union(tries[1])), "pairs")
-    # full sets are made for one document of each set that shares a column
-    shared = table.select("id").distinct()
-    chosen = rows.join(shared, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    known = docs.join(chosen.select("doc_id"), "doc_id", "left_semi")
-    nameless = docs.filter("doc_id is null")
-    sets = store(sets_of(known.unionByName(nameless), size).join(shared, "id", "left_semi").dropDuplicates(["id"]), "sets")
-    release(docs.sparkSession)
-    found = store(_linked(first, sets, percent), "links")
+    found = store(_linked(first, _sets_for(first, docs, rows, size), percent), "links")
     release(docs.sparkSession)
     inside = components(found)
     marked = table.select("shingle", "id", "n", "place").join(inside.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -168,13 +161,23 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[Da
     marked = store(marked.join(several, "shingle", "left_semi"), "columns")
     x, y = (marked.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place", "component"))) for s in "xy")
     rest = x.join(y, "shingle").filter((F.col("component_x") < F.col("component_y")) & _possible("n_x", "place_x", "n_y", "place_y", percent))
-    rest = _ordered(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))).join(first, ["a", "b"], "left_anti")
-    more = store(_linked(rest, sets, percent), "links")
-    if more.isEmpty():
+    rest = store(_ordered(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))).join(first, ["a", "b"], "left_anti"), "pairs")
+    if rest.isEmpty():
         return rows, inside
+    more = _linked(rest, _sets_for(rest, docs, rows, size), percent)
     return rows, components(found.union(more))
 
 
+def _sets_for(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """Full sets of the pairs' ids, each made from one document (from any that lack a doc_id, besides)."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    chosen = rows.join(used, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    known = docs.join(chosen, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    made = store(sets_of(known, size), "sets")
+    release(docs.sparkSession)
+    return made
+
+
 def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
     rows, joined = links(docs, size, percent)
