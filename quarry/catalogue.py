@@ -241,11 +241,11 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir).sql(FLAGSHIP)
+    return views(spark, sf_dir, FLAGSHIP).sql(FLAGSHIP)
 
 
 def _sql(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir).sql(text)
+    return views(spark, sf_dir, text).sql(text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
