@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import release, store
+from quarry.llm.common import discard, release, store
 from quarry.llm.components import components
 
 SHINGLE, PERCENT = 7, 80
@@ -41,12 +41,12 @@ def _units(line: Column) -> Column:
 
 
 def _places(units: str) -> Column:
-    """Where the shingles begin."""
-    return F.sequence(F.lit(1), F.greatest(F.lit(1), (F.octet_length(units) / 2).cast("int") - SHINGLE + 1))
+    """Bytes at which the shingles begin."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(units) - (2 * SHINGLE - 1)), F.lit(2))
 
 
 def _hash(units: Column, place: Column) -> Column:
-    return F.xxhash64(F.substring(units, place * 2 - 1, F.lit(2 * SHINGLE)))
+    return F.xxhash64(F.substring(units, place, F.lit(2 * SHINGLE)))
 
 
 def shingles(units: str) -> Column:
@@ -56,8 +56,9 @@ def shingles(units: str) -> Column:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """(id, th, no, lid, line) of every line that isn't blank; id and th know the document, lid the line."""
-    d = docs.select(_id().alias("id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return d.filter(F.trim(F.translate("line", "\t\r\f\x0b", "    ")) != "").withColumn("lid", F.xxhash64("line"))
+    d = docs.select(_id().alias("id"), F.xxhash64("text").alias("th"), "text")  # beside posexplode it would be hashed once a line
+    d = d.select("id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return d.filter(F.btrim("line", F.lit(" \t\r\f\x0b")) != "").withColumn("lid", F.xxhash64("line"))
 
 
 def _id() -> Column:
@@ -86,10 +87,12 @@ def candidates(lines: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs whose exact similarity reaches the threshold."""
     a, b = (lines.select(F.col("lid").alias(c), _units(F.col("line")).alias(f"units_{c}")) for c in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", shingles("units_a").alias("x"), shingles("units_b").alias("y"))
-    both = both.filter(100 * F.least(F.size("x"), F.size("y")) >= PERCENT * F.greatest(F.size("x"), F.size("y")))
-    both = both.withColumn("overlap", F.size(F.array_intersect("x", "y")))
-    return both.filter(100 * F.col("overlap") >= PERCENT * (F.size("x") + F.size("y") - F.col("overlap"))).select("a", "b")
+    # explode of one row: without it the filters' every mention of a set would work the set out again
+    sets = F.explode(F.array(F.struct(shingles("units_a").alias("x"), shingles("units_b").alias("y"))))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", sets.alias("s")).select("a", "b", "s.x", "s.y")
+    n, m = F.size("x"), F.size("y")
+    similar = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    return both.filter(similar & ((100 + PERCENT) * F.size(F.array_intersect("x", "y")) >= PERCENT * (n + m))).select("a", "b")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -102,9 +105,12 @@ def removals(docs: DataFrame) -> DataFrame:
     release(spark)
     edges = store(linked(pairs, lines), "line-links")
     release(spark)
+    discard(pairs)
+    discard(lines)
     groups = components(edges).select(F.col("node").alias("lid"), "component")
     o = occurrences(docs).select("id", "th", "no", "lid").join(groups, "lid", "left")
-    o = o.select("id", "th", "no", F.coalesce("component", "lid").alias("component"))
+    o = store(o.select("id", "th", "no", F.coalesce("component", "lid").alias("component")), "line-places")
+    release(spark)
     first = o.groupBy("component").agg(F.min(F.struct("id", "th", "no")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     gone = o.join(first.select("component", "first"), "component").filter(F.struct("id", "th", "no") != F.col("first"))
     return gone.groupBy("id", "th").agg(F.collect_list("no").alias("gone"))
