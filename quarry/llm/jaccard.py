@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import release, slices, store, utf8
+from quarry.llm.common import discard, release, slices, store, utf8
 from quarry.llm.components import components
 from quarry.llm.words import mix, shingle_sets
 
@@ -39,6 +39,8 @@ SIZE, PERCENT = 5, 80
 SKETCH_BITS, SEGMENTS = 20, 64
 #: Bytes of text that a kernel works on at once.
 PART = 4 << 20
+#: Ids of sets that a task remembers, so as not to send copies it has just sent.
+SEEN = 1 << 18
 
 
 def set_id(s: np.ndarray) -> int:
@@ -95,17 +97,20 @@ def incidence(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> D
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
     def work(batches):
-        level = sent.value
+        level, seen = sent.value, set()
         for _, sets in _sets(batches, size):
             shingle, ids, ns, places = [], [], [], []
             for s in sets:
-                if not (n := len(s)):
+                if not (n := len(s)) or (own := set_id(s)) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(own)
                 k = prefix_length(n, percent)
                 # by level, then by hash (s is sorted)
                 first = s[np.argsort(level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:k]]
                 shingle.append(first)
-                ids.append(np.full(k, set_id(s), np.int64))
+                ids.append(np.full(k, own, np.int64))
                 ns.append(np.full(k, n, np.int32))
                 places.append(np.arange(k, dtype=np.int32))
             if shingle:
@@ -153,18 +158,26 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[Da
     release(docs.sparkSession)
     tries = [table.filter(_possible("n", "place", f"{x}_n", f"{x}_place", percent)).select(F.col("id").alias("a"), F.col(f"{x}_id").alias("b")) for x in ("last", "first")]
     first = store(_ordered(tries[0].union(tries[1])), "pairs")
-    found = store(_linked(first, _sets_for(first, docs, rows, size), percent), "links")
+    sets = _sets_for(first, docs, rows, size)
+    found = store(_linked(first, sets, percent), "links")
     release(docs.sparkSession)
+    discard(sets)
     inside = components(found)
     marked = table.select("shingle", "id", "n", "place").join(inside.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = marked.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
     marked = store(marked.join(several, "shingle", "left_semi"), "columns")
+    release(docs.sparkSession)
+    discard(table)
     x, y = (marked.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place", "component"))) for s in "xy")
     rest = x.join(y, "shingle").filter((F.col("component_x") < F.col("component_y")) & _possible("n_x", "place_x", "n_y", "place_y", percent))
     rest = store(_ordered(rest.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))).join(first, ["a", "b"], "left_anti"), "pairs")
+    discard(marked)
     if rest.isEmpty():
         return rows, inside
-    more = _linked(rest, _sets_for(rest, docs, rows, size), percent)
+    sets = _sets_for(rest, docs, rows, size)
+    more = store(_linked(rest, sets, percent), "links")
+    release(docs.sparkSession)
+    discard(sets)
     return rows, components(found.union(more))
 
 
