@@ -3,10 +3,14 @@
 A text's lines are what stands between line feeds. Copies of a line are one line, known by a 64-bit hash. Each distinct
 line's shingles (SHINGLE consecutive UTF-16 units; a shorter line is one shingle) are hashed; the two top bits of a hash
 choose one of four parts, and each part keeps the minimum of its hashes under MINIMA exclusive-or masks. ROWS minima
-make a band. Lines that share a band (4 parts x 2 bands) are candidates: in each band, a line is paired with the first
-and with the previous one, so a band of n lines costs 2 n pairs. A pair is linked if the exact Jaccard similarity of its
-shingle sets is at least PERCENT / 100; linked lines are joined by distributed union-find; and of all occurrences of
-a component's lines the first (by doc_id, then place) stays.
+make a band. Lines that share a band (4 parts x 2 bands) are candidates. A pair is linked if the exact Jaccard similarity
+of its shingle sets is at least PERCENT / 100; linked lines are joined by distributed union-find; and of all occurrences
+of a component's lines the first (by doc_id, then place) stays.
+
+In each band, a line is first paired with the band's first and its previous line, so a band of n lines costs 2 n pairs
+(all there are, up to three lines). Then all lines of the larger bands that still hold several components are joined by
+an exact prefix filter, rare shingles first, so that lines of one template meet in what sets them apart only: no pair
+of different components goes untested unless its sizes or prefixes rule the threshold out.
 
 At the threshold a pair shares a band with probability 1 - (1 - 0.8 ^ 3) ^ 8 = 0.997 (a little less for lines so short
 that a part is empty); a pair is also found through other members of its component.
@@ -69,8 +73,10 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return occurrences(docs).groupBy("lid").agg(F.any_value("line").alias("line"))
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of lines that share a band. `lines` is dealt by lid, so minima need no further shuffle."""
+def banded(lines: DataFrame) -> DataFrame:
+    """(lid, first, last, band) of lines that share a band with a smaller one or, where `band` isn't null, of every line of a
+    band that has pairs besides those with the first and the previous line. `lines` is dealt by lid, so minima need no
+    further shuffle."""
     d = lines.select("lid", _units(F.col("line")).alias("units"))
     d = d.select("lid", "units", F.explode(_places("units")).alias("place"))
     d = d.select("lid", _hash(F.col("units"), F.col("place")).alias("h"))
@@ -79,11 +85,40 @@ def candidates(lines: DataFrame) -> DataFrame:
     bands = F.array(*(F.xxhash64("part", F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
     rows = minima.select("lid", F.explode(bands).alias("band"))
     w = W.partitionBy("band").orderBy("lid")
-    rows = rows.select("lid", F.first("lid").over(w).alias("first"), F.lag("lid").over(w).alias("last")).filter("last is not null")
-    pairs = rows.select("lid", F.explode(F.array_distinct(F.array("first", "last"))).alias("other")).filter("lid <> other")
+    # offsets and running frames only; a band has four lines if a line's number and its followers come to four
+    after = sum(F.lead("lid", k).over(w).isNotNull().cast("int") for k in (1, 2, 3))
+    rows = rows.select("lid", "band", F.first("lid").over(w).alias("first"), F.lag("lid").over(w).alias("last"), (F.row_number().over(w) + after).alias("least"))
+    return rows.filter("last is not null or least > 3").select("lid", "first", "last", F.when(F.col("least") > 3, F.col("band")).alias("band"))
+
+
+def candidates(bands: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of lines with the first and the previous line of their bands."""
+    pairs = bands.filter("last is not null").select("lid", F.explode(F.array("first", "last")).alias("other")).filter("lid <> other")
     return pairs.select(F.greatest("lid", "other").alias("a"), F.least("lid", "other").alias("b")).distinct()
 
 
+def remaining(bands: DataFrame, lines: DataFrame, groups: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different components that may reach the threshold, among the lines of bands with several.
+
+    The overlap of such a pair is at least PERCENT / 100 of the larger set and 2 PERCENT / (100 + PERCENT) of the smaller, so
+    the first common shingle in any order lies among as many of either set as the rest leaves.
+    """
+    marked = bands.filter("band is not null").select("band", "lid").join(groups, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
+    several = marked.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
+    open_ = marked.join(several, "band", "left_semi").select("lid", "component").distinct()
+    d = lines.select("lid", _units(F.col("line")).alias("units")).join(open_, "lid").select("lid", "component", shingles("units").alias("s"))
+    d = d.select("lid", "component", F.size("s").alias("n"), F.explode("s").alias("h"))
+    often = d.groupBy("h").agg(F.count("*").alias("often"), (F.min("component") != F.max("component")).alias("shared"))
+    d = d.join(often, "h").withColumn("place", F.row_number().over(W.partitionBy("lid").orderBy("often", "h")) - 1)
+    d = store(d.filter(f"shared and place <= n - ({PERCENT} * n + 99) div 100").drop("often", "shared"), "line-prefixes")
+    small = d.filter(f"place <= n - ({2 * PERCENT} * n + {99 + PERCENT}) div {100 + PERCENT}")
+    x, y = (t.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("lid", "component", "n", "place"))) for t, s in ((small, "x"), (d, "y")))
+    n, m = F.col("n_x"), F.col("n_y")
+    possible = (100 * n >= PERCENT * m) & ((100 + PERCENT) * F.least(n - F.col("place_x"), m - F.col("place_y")) >= PERCENT * (n + m))
+    both = x.join(y, "h").filter((F.col("component_x") != F.col("component_y")) & (n <= m) & possible)
+    return both.select(F.greatest("lid_x", "lid_y").alias("a"), F.least("lid_x", "lid_y").alias("b")).distinct()
+
+
 def linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs whose exact similarity reaches the threshold."""
     a, b = (lines.select(F.col("lid").alias(c), _units(F.col("line")).alias(f"units_{c}")) for c in "ab")
@@ -98,16 +133,24 @@ def linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """(id, th, gone): numbers of the lines to remove from each document that has any."""
     spark = docs.sparkSession
-    pairs = store(candidates(distinct_lines(docs)), "line-pairs")
+    bands = store(banded(distinct_lines(docs)), "line-bands")
+    release(spark)
+    pairs = store(candidates(bands), "line-pairs")
     release(spark)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     lines = store(distinct_lines(docs).join(needed, "lid", "left_semi"), "lines")
     release(spark)
     edges = store(linked(pairs, lines), "line-links")
     release(spark)
-    discard(pairs)
-    discard(lines)
     groups = components(edges).select(F.col("node").alias("lid"), "component")
+    rest = store(remaining(bands, lines, groups).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    release(spark)
+    if not rest.isEmpty():
+        edges = edges.union(store(linked(rest, lines), "line-links"))
+        release(spark)
+        groups = components(edges).select(F.col("node").alias("lid"), "component")
+    for table in (bands, pairs, lines, rest):
+        discard(table)
     o = occurrences(docs).select("id", "th", "no", "lid").join(groups, "lid", "left")
     o = store(o.select("id", "th", "no", F.coalesce("component", "lid").alias("component")), "line-places")
     release(spark)

@@ -84,6 +84,18 @@ def test_line_dedup_takes_repeated_rows_as_one(docs):
     assert len(got) == 2 and {r.text for r in got} == {BASE[0]}
 
 
+def test_line_dedup_finds_pairs_in_bands_of_one_template(spark):
+    r, k = random.Random(5), lines.SHINGLE
+    template = "".join(r.choice("abcdefghijklmnop ") for _ in range(100))
+    tails = ["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(14)) for _ in range(150)]
+    rows = [template + t for t in tails] + [template + t[:7] + "_" + t[8:] for t in tails]
+    sets = [{t[j : j + k] for j in range(len(t) - k + 1)} for t in rows]
+    like = lambda x, y: len(x & y) / len(x | y)
+    assert all(like(sets[i], sets[j]) >= 0.8 if j - i == 150 else like(sets[i], sets[j]) < 0.8 for j in range(300) for i in range(j))
+    got = {x.doc_id: x.n_removed for x in lines.dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == {i: int(i >= 150) for i in range(300)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (300, 300), (-5, 202), (202, 200)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
