@@ -29,18 +29,18 @@ SPEC = repeats.Spec("words", WINDOW, GRAM, earlier=False)
 
 
 class Automaton:
-    """Generalised suffix automaton of sequences whose items have places (one number for each item of the corpus)."""
+    """Generalised suffix automaton of sequences whose items have places (one number from 0 for each item of the shard)."""
 
     def __init__(self):
         self.following: list[dict] = [{}]
         self.link, self.size = [-1], [0]
-        self.low, self.high = [2**62], [-1]
+        self.low, self.high = [2**63 - 1], [-1]
 
     def _state(self, following: dict, link: int, size: int) -> int:
         self.following.append(following)
         self.link.append(link)
         self.size.append(size)
-        self.low.append(2**62)
+        self.low.append(2**63 - 1)
         self.high.append(-1)
         return len(self.size) - 1
 
@@ -124,7 +124,7 @@ def _by_sorting(spec, rows, doc, start, size, known, base, raw):
     h, owner, place = np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
     at = (doc[owner] << 32) + start[owner] + place
     _, inverse = np.unique(h, return_inverse=True)
-    low, high = np.full(inverse.max(initial=-1) + 1, 2**62), np.full(inverse.max(initial=-1) + 1, -1)
+    low, high = np.full(inverse.max(initial=-1) + 1, 2**63 - 1), np.full(inverse.max(initial=-1) + 1, -1)
     np.minimum.at(low, inverse, at)
     np.maximum.at(high, inverse, at)
     twice = (low != high)[inverse] & ~known[owner]
@@ -134,6 +134,7 @@ def _by_sorting(spec, rows, doc, start, size, known, base, raw):
 
 def refine(spec, h, doc, start, size, known, lead, raw):
     """Intervals of the contexts, not known yet, whose windows end at another place too."""
+    names, doc = np.unique(doc, return_inverse=True)  # dense numbers: ids may be negative, or too large to pack with a place
     base = np.cumsum(size) - size
     order = np.argsort(h, kind="stable")
     cut = np.flatnonzero(np.diff(h[order], prepend=~h[order][:1]) != 0)
@@ -142,7 +143,8 @@ def refine(spec, h, doc, start, size, known, lead, raw):
         if len(rows) > 1 and not known[rows].all():
             work = _by_automaton if len(rows) <= SHARD else _by_sorting
             out += work(spec, rows.tolist() if len(rows) <= SHARD else rows, doc, start, size, known, base, raw)
-    return tuple(np.array(x, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    d, start, end = (np.array(x, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    return names[d], start, end
 
 
 def _result(doc, data, gone, spans):

@@ -211,6 +211,26 @@ def test_automaton_and_sorting_agree_with_brute_force(clean, docs, monkeypatch):
     assert cover(automata._by_automaton(*args)) == cover(automata._by_sorting(*args)) == {(d, k) for d in range(6) for k in range(60)}
 
 
+def test_substring_dedup_takes_any_ids(clean, spark, monkeypatch):
+    items = np.random.default_rng(1).integers(0, 2**60, 60).astype(np.uint64)
+    other = np.random.default_rng(2).integers(0, 2**60, (2, 20)).astype(np.uint64)
+    rows = [np.concatenate([items[:40], other[0]]), np.concatenate([items[:40], other[1]])]
+    for ids in ([0, 1], [2**33, 2**34], [2**62, 2**63 - 1], [-5, -(2**63)], [-1, 2**31]):
+        for shard in (2000, 0):
+            monkeypatch.setattr(automata, "SHARD", shard)
+            doc, start, end = automata.refine(automata.SPEC, np.ones(2, np.uint64), np.array(ids), np.zeros(2, int), np.full(2, 60), np.zeros(2, bool), np.zeros(2, int), np.concatenate(rows))
+            assert {(d, k) for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist()) for k in range(a, b)} == {(d, k) for d in ids for k in range(40)}
+    monkeypatch.undo()
+    shown = lambda df: sorted((r.n_words, r.n_removed, r.kept_sha256) for r in automata.dedup(df).collect())
+    want = shown(clean)
+    assert shown(clean.withColumn("doc_id", F.col("doc_id") * 2**34 - 2**36)) == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that numbers run over several partitions
+    try:
+        assert shown(clean.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 5))) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_mixing(docs):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS) and all(0 <= r.taken <= 2 * r.size for r in got)
