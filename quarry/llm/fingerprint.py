@@ -38,9 +38,8 @@ def counters(data: bytes) -> np.ndarray:
     reach = max(b for _, b in REACH)
     for first in range(0, len(data), PART):
         a = np.frombuffer(data, np.uint8, min(len(data) - first, PART + reach), first).astype(np.uint32)
-        last = first + PART >= len(data)
         for k, (i, j) in enumerate(REACH):
-            n = len(a) - j if last else PART
+            n = min(PART, len(a) - j)  # triplets that begin in this part and end in the text
             if n <= 0:
                 continue
             h = (a[:n] | a[i : i + n] << 8 | a[j : j + n] << 16) + np.uint32(k << 24)

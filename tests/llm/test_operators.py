@@ -294,6 +294,14 @@ def test_fingerprint(docs, clean, monkeypatch):
     assert 0 <= fingerprint.likeness(a, b) == fingerprint.likeness(b, a) < fingerprint.likeness(a, a) == 1
 
 
+def test_fingerprint_of_parts_of_any_length(monkeypatch):
+    data = np.random.default_rng(4).integers(0, 256, (2 << 20) + 9).astype(np.uint8).tobytes()
+    sizes = [k * fingerprint.PART + n for k in (1, 2) for n in range(-2, 10)]
+    got = [fingerprint.counters(data[:n]).tolist() for n in sizes]
+    monkeypatch.setattr(fingerprint, "PART", 4 << 20)
+    assert got == [fingerprint.counters(data[:n]).tolist() for n in sizes]
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
