@@ -203,6 +203,17 @@ def classes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFr
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """`docs` with one document of each component: that with the smallest doc_id; rows without an id, or that repeat one, stay if it does."""
-    kept = classes(docs, size, percent).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """`docs` with one row of each component: that with the smallest doc_id (a null only if there is no other, ties by the
+    text's hash); rows with an empty set all stay."""
+    total, given = docs.agg(F.count("*"), F.count("doc_id")).first()
+    if given == total and docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = classes(docs, size, percent).filter("doc_id = component_id").select("doc_id")
+        return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    # rows that share or lack an id are told apart by a number (rare, so the copy is borne)
+    numbered = store(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows, joined = links(numbered.select(F.col("_row").alias("doc_id"), "text"), size, percent)
+    rows = rows.withColumnRenamed("doc_id", "_row")
+    full = rows.filter("n > 0").join(joined.withColumnRenamed("node", "id"), "id", "left").select("_row", F.coalesce("component", "id").alias("component"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long"), F.xxhash64("text"), "_row")
+    kept = full.join(numbered.select("_row", order.alias("order")), "_row").groupBy("component").agg(F.min("order").getField("_row").alias("_row"))
+    return numbered.join(kept.select("_row").union(rows.filter("n = 0").select("_row")), "_row", "left_semi").select(*docs.columns)

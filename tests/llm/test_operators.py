@@ -277,6 +277,13 @@ def test_jaccard(clean, docs):
     assert sorted(r.doc_id for r in jaccard.keep_one(clean).collect()) == sorted(set(group))
 
 
+def test_keep_one_keeps_one_row_of_each_component(spark):
+    a, b, c = BASE[:3]
+    rows = [(7, a), (7, a), (None, a), (None, b), (None, b + " tail"), (8, ""), (None, None), (9, c), (9, a), (10, c), (11, b + " tail b"), (None, BASE[3]), (None, BASE[3] + " tail")]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), (r.text or "")[:20]) for r in got) == sorted((str(i), t[:20]) for i, t in ((7, a), (8, ""), (None, ""), (9, c), (11, b), (None, BASE[3])))
+
+
 def test_fingerprint(docs, clean, monkeypatch):
     ids = list(range(len(TEXTS)))
     for bucket in (1, 1000):
