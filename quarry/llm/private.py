@@ -34,6 +34,8 @@ _NEEDS = {"email": "@", "phone": "+"}
 _TOKEN = r"(?<!\S)(?=\S*[0-9@])\S{6,64}(?!\S)"
 _SHAPE = {"email": r"^\S+@\S+$", "ip": r"^[0-9]+([.:][0-9]+)+$", "card": r"^([0-9][-.]?){9,}$", "phone": r"^[+(]?([0-9][-.()]?){7,}$"}
 ROUNDS, LEAST_SCORE, LEAST_SEEDS = 3, 0.8, 3
+#: Characters of the text before a match that its words are taken from.
+TAIL = 80
 
 
 def _digits(match: Column) -> Column:
@@ -80,14 +82,21 @@ def _matches(d: DataFrame, patterns: dict[str, str]) -> DataFrame:
     d = d.filter(F.col("text").rlike("[0-9@]")).select("th", "text", *(found[k].alias(k) for k in kinds))
     d = d.filter(" or ".join(f"size({k}) > 0" for k in kinds))
 
+    # worked out once a text: within the lambdas below they would be once a match
+    pieces = {k: F.when(F.size(k) > 0, F.split("text", patterns[k], -1)) for k in kinds}
+    pieces = {k: F.transform(p, lambda p: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(TAIL)).alias("tail"))) for k, p in pieces.items()}
+    d = d.select("th", *kinds, *(p.alias(f"{k}_pieces") for k, p in pieces.items()))
+
     def zipped(k: str) -> Column:
-        pieces = F.when(F.size(k) > 0, F.split("text", patterns[k], -1))
-        lasts = F.transform(pieces, lambda p: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(80)).alias("tail")))
-        return F.when(F.size(k) > 0, F.transform(F.col(k), lambda m, i: F.struct(F.lit(k).alias("kind"), i.alias("no"), F.get(lasts, i).alias("piece"), m.alias("value"))))
+        piece = lambda i: F.get(F.col(f"{k}_pieces"), i)
+        # matches and pieces in turns; a match and the piece after it have three characters at least
+        earlier = lambda i: F.transform(F.sequence(F.greatest(F.lit(0), i - (TAIL // 3 + 1)), i), lambda j: F.concat(piece(j)["tail"], F.when(j < i, F.right(F.get(F.col(k), j), F.lit(TAIL))).otherwise("")))
+        match = lambda m, i: F.struct(F.lit(k).alias("kind"), i.alias("no"), piece(i)["gap"].alias("gap"), F.right(F.array_join(earlier(i), ""), F.lit(TAIL)).alias("tail"), m.alias("value"))
+        return F.when(F.size(k) > 0, F.transform(F.col(k), match))
 
     d = d.select("th", F.explode(F.array(*(zipped(k) for k in kinds))).alias("found")).select("th", F.explode("found").alias("f"))
-    before = F.lower(F.regexp_extract(F.col("f.piece.tail"), r"(?:^|\s)(\S+\s+\S+|\S+)\s*$", 1))
-    return _places(d.select("th", "f.kind", "f.no", F.col("f.piece.gap").alias("gap"), "f.value", F.regexp_replace(before, r"\s+", " ").alias("before")))
+    before = F.lower(F.regexp_extract(F.col("f.tail"), r"(?:^|\s)(\S+\s+\S+|\S+)\s*$", 1))
+    return _places(d.select("th", "f.kind", "f.no", "f.gap", "f.value", F.regexp_replace(before, r"\s+", " ").alias("before")))
 
 
 def base(docs: DataFrame) -> DataFrame:

@@ -260,6 +260,12 @@ def test_private_discovers_by_context(spark):
     assert got[99].n_discovered == 1 and got[99].spans == "email:17:26" and got[100].n_discovered == 0 and got[3].n_email == 1
 
 
+def test_private_takes_words_before_across_matches(spark):
+    rows = [(i, f"{prose(5)} contact Email1: user{i}@site.org {prose(3)}") for i in range(12)] + [(99, "contact Email1: odd@host9 now"), (100, "x Email1: odd@host9 y")]
+    got = {r.doc_id: r for r in private.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[99].spans == "email:16:25" and got[99].n_discovered == 1 and got[100].n_discovered == 0 and got[3].n_email == 1
+
+
 def test_jaccard(clean, docs):
     def shingles(t):
         w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
