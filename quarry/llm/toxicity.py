@@ -7,19 +7,23 @@ take the weight. Features are a word and its beginnings, which inflected forms s
 sentence, with its place in the text.
 
 Training uses at most `sample` labelled rows (those lowest by a hash of the id, so reruns agree), and needs ids and
-labels only to choose them. The model that is sent to the executors has at most MAX_FEATURES weights (a few MB).
-Scoring is one pass over whole texts.
-
-Null or empty texts and those without words score 0. Labels that are null, or of ids without a document, aren't used;
-with no labelled rows, or one class only, every weight stays 0 and the score is the prior of each sentence (0).
-Repeated rows are scored alike. An empty table gives an empty table.
+labels only to choose them. Executors count in how many sample documents, and toxic ones, each feature stands, keep the
+features that are tied to the label, and number each sentence's features; only these numbers go to the driver, which fits
+the weights. The texts themselves never do. Scoring is one pass over whole texts.
+
+Null or empty texts and those without words score 0. Labels that are null, or of ids without a document, aren't used; of
+labels that share an id the largest counts, of documents that do the smallest text is learned from. With no labelled rows,
+or one class only, there are no weights and the score is the prior of each sentence (0). Repeated rows and equal texts are
+scored alike. A very long text is one row of Arrow: its sentences are scored one by one, and learned from by their
+different feature sets. Columns named like the outputs are replaced, other columns pass through. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.common import discard, store
+
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 6_000
-#: Features that a model keeps, those of largest weight.
-MAX_FEATURES = 1 << 16
+#: Tasks that the sample is dealt to.
+PARTS = 32
 #: Lengths of the beginnings of words that are features too.
 STEMS = (4, 5, 6, 7, 8)
 #: Standard errors of its log odds that a word's tie to the label must have.
@@ -57,63 +63,104 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
     return (m.span() for m in _SENTENCE.finditer(text))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 120, rate: float = 0.3, decay: float = 1e-4) -> Model:
-    """Maximum likelihood of the noisy-or by Adam over the whole sample."""
-    slots, sentence, doc, n = array("i"), array("i"), array("i"), 0
-    slots_of: dict[str, list[int]] = {}
-    number: dict[str, int] = {}
-    for d, text in enumerate(texts):
-        text = (text or "").lower()
-        for a, b in sentences(text):
-            words = set(_WORD.findall(text, a, b))
-            for w in words:
-                if (own := slots_of.get(w)) is None:
-                    own = slots_of[w] = [number.setdefault(f, len(number)) for f in features(w)]
-                slots.extend(own)
-                sentence.extend([n] * len(own))
-            if words:
-                doc.append(d)
-                n += 1
-    y = np.asarray(labels, np.float64)
-    if not n or y.min(initial=1) == y.max(initial=0):
+def _bags(text: str | None) -> Iterator[set[str]]:
+    """Words of each sentence that has any, in lower case."""
+    lower = (text or "").lower()
+    for a, b in sentences(lower):
+        if words := set(_WORD.findall(lower, a, b)):
+            yield words
+
+
+def document_features(text: str | None) -> set[str]:
+    """Distinct features of a whole text."""
+    return {f for w in set().union(*_bags(text)) for f in features(w)}
+
+
+def tied(n: np.ndarray, toxic: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Whether a feature that `n` documents have, `toxic` of them toxic, stands in more toxic ones than chance explains.
+
+    The rest would be learned by heart.
+    """
+    odds = np.log((toxic + 0.5) / (n_toxic - toxic + 0.5)) - np.log((n - toxic + 0.5) / (n_clean - n + toxic + 0.5))
+    error = np.sqrt(1 / (toxic + 0.5) + 1 / (n - toxic + 0.5))
+    return (odds > LEAST_Z * error) & (toxic >= 2)
+
+
+def encoded(text: str | None, number: dict[str, int]) -> tuple[list[int], list[int], list[int]]:
+    """A text's sentences by the chosen features: of each different set of them its size, its members and how many sentences
+    have it (those with none of them included)."""
+    known: dict[str, list[int]] = {}
+    sets: Counter[tuple[int, ...]] = Counter()
+    for words in _bags(text):
+        own: set[int] = set()
+        for w in words:
+            if (found := known.get(w)) is None:
+                found = known[w] = [number[f] for f in features(w) if f in number]
+            own.update(found)
+        sets[tuple(sorted(own))] += 1
+    return [len(x) for x in sets], [i for x in sets for i in x], list(sets.values())
+
+
+def optimise(names: list[str], y: np.ndarray, bags: list[tuple], epochs: int = 120, rate: float = 0.3, decay: float = 1e-4) -> Model:
+    """Maximum likelihood of the noisy-or by Adam over the whole sample: labels and `encoded` sentences of its documents."""
+    sizes, slot, times = (np.array([i for b in bags for i in b[k]], np.int64) for k in range(3))
+    if not len(sizes) or y.min(initial=1) == y.max(initial=0):
         return Model({}, -20.0)
-    del slots_of
-    slot, sentence, doc = np.asarray(slots), np.asarray(sentence), np.asarray(doc)
-    # only words that stand in more toxic documents than chance explains: the rest would be learned by heart
-    pairs = np.unique(slot * np.int64(len(y)) + doc[sentence])
-    df, df_toxic = (np.bincount(pairs // len(y), x, len(number)) for x in (None, y[pairs % len(y)]))
-    odds = np.log((df_toxic + 0.5) / (y.sum() - df_toxic + 0.5)) - np.log((df - df_toxic + 0.5) / (len(y) - y.sum() - df + df_toxic + 0.5))
-    error = np.sqrt(1 / (df_toxic + 0.5) + 1 / (df - df_toxic + 0.5))
-    chosen = (odds > LEAST_Z * error) & (df_toxic >= 2)
-    place = np.cumsum(chosen) - 1
-    keep = chosen[slot]
-    slot, sentence = place[slot[keep]], sentence[keep]
-    names = [f for f, i in number.items() if chosen[i]]
-    del number
+    n, doc = len(sizes), np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+    sentence = np.repeat(np.arange(n), sizes)
     w, bias = np.zeros(len(names)), -4.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, epochs + 1):
         z = np.bincount(sentence, w[slot], n) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        log_none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))
+        log_none = np.bincount(doc, times * np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))
         p_doc = np.clip(-np.expm1(log_none), 1e-6, 1 - 1e-9)
         # d loss / d z of a sentence: p for label 0; -p (1 - P) / P for label 1
-        share = np.where(y[doc] > 0, -(1 - p_doc[doc]) / p_doc[doc], 1.0) * p / len(y)
+        share = np.where(y[doc] > 0, -(1 - p_doc[doc]) / p_doc[doc], 1.0) * p * times / len(y)
         g = np.append(np.bincount(slot, share[sentence], len(names)) + decay * np.sign(w) / 10, share.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
         w, bias = w - move[:-1], bias - move[-1]
-    best = np.argsort(-np.abs(w), kind="stable")[:MAX_FEATURES]
-    return Model({names[i]: float(w[i]) for i in best}, float(bias))
+    return Model(dict(zip(names, w.tolist())), float(bias))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     """The model of a bounded sample of the labelled documents (see the module's text)."""
-    l = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_label"))
-    l = l.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id", "_label").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(l), "doc_id").select("doc_id", "text", "_label").collect()  # `sample` ids at most
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or "", r["_label"]))
-    return train([r["text"] for r in rows], [r["_label"] for r in rows])
+    l = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("_label"))
+    l = l.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(sample).drop("_h")  # `sample` ids at most
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(l), "doc_id")
+    rows = store(rows.repartition(PARTS, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_label").alias("_label")), "toxicity-sample")
+    n_toxic, n = rows.agg(F.coalesce(F.sum("_label"), F.lit(0)), F.count("*")).first()
+
+    def count(batches):
+        n: Counter[str] = Counter()
+        toxic: Counter[str] = Counter()
+        for batch in batches:
+            for text, y in zip(batch.column(0), batch.column(1)):
+                own = document_features(text.as_py())
+                n.update(own)
+                if y.as_py():
+                    toxic.update(own)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([toxic[f] for f in n], pa.int64())], names=["feature", "n", "toxic"])
+
+    def choose(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(tied(*(batch.column(k).to_numpy() for k in (1, 2)), n_toxic, n - n_toxic)))
+
+    schema = "feature string, n long, toxic long"
+    counted = rows.select("text", "_label").mapInArrow(count, schema).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    names = sorted(r.feature for r in counted.mapInArrow(choose, schema).select("feature").collect())
+    sent = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def encode(batches):
+        for batch in batches:
+            columns = zip(*(encoded(x.as_py(), sent.value) for x in batch.column(1))) if batch.num_rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(list(c), pa.list_(pa.int32())) for c in columns)], names=["doc_id", "label", "sizes", "slots", "times"])
+
+    made = rows.select(F.col("doc_id").cast("long"), "text", "_label").mapInArrow(encode, "doc_id long, label int, sizes array<int>, slots array<int>, times array<int>")
+    bags = sorted(map(tuple, made.collect()))  # numbers of the chosen features only, for `sample` rows at most
+    discard(rows)
+    return optimise(names, np.array([b[1] for b in bags], np.float64), [b[2:] for b in bags])
 
 
 class _WordWeights(dict):

@@ -163,18 +163,35 @@ def test_bpe_equals_the_whole_text_encoder(docs):
     assert all(r.decoded_sha256 == sha(t or "") for r in bpe.digest(docs, path, pattern).collect() for t in ([TEXTS[r.doc_id]] if r.doc_id not in (None, 5) else []))
 
 
-def test_toxicity_learns_sentences_from_document_labels(docs):
-    r = random.Random(1)
+def test_toxicity_learns_sentences_from_document_labels(spark, docs):
     make = lambda bad: ". ".join(prose(8) + (" zork vile" if bad and k == 2 else "") for k in range(6))
     y = [i % 4 == 0 for i in range(400)]
     texts = [make(b) for b in y]
-    model = toxicity.train(texts[:300], y[:300])
+    rows = [(i, t) for i, t in enumerate(texts[:300])] + [(0, texts[0]), (1000, None), (1001, ""), (None, "zork")]
+    labels = [(i, int(b)) for i, b in enumerate(y[:300])] + [(0, 1), (1000, 0), (1001, None), (9999, 1), (None, 1)]
+    frames = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(*frames)
     scorer = toxicity.Scorer(model)
     got = [scorer(t) for t in texts[300:]]
     assert [s >= 0.5 for s, *_ in got] == y[300:]
     assert all("zork" in t[a:b] for t, (s, a, b, _) in zip(texts[300:], got) if s >= 0.5)
-    assert scorer(None)[0] == scorer("")[0] == 0 and toxicity.train(texts[:5], [0] * 5).weights == {} and r
-    assert toxicity.score(docs, model).columns[-4:] == ["score", "worst_start", "worst_end", "worst_score"]
+    assert scorer(None)[0] == scorer("")[0] == 0
+    assert toxicity.fit(*(f.repartition(3) for f in frames)) == model
+    for none in (frames[1].filter("toxic = 0"), frames[1].limit(0)):
+        assert toxicity.fit(frames[0], none).weights == {}
+    again = toxicity.score(docs.withColumn("worst_start", F.lit("x")), model)
+    assert again.columns == [*docs.columns[:-2], "size", "score", "worst_start", "worst_end", "worst_score"] and again.count() == len(ROWS)
+    long = "plain words here. " * 100_000 + "zork vile."
+    assert scorer(long)[1:3] == (len(long) - 11, len(long))
+
+
+def test_toxicity_weights_equal_those_of_repeated_sentences():
+    """Sentences of one feature set, counted, act as themselves."""
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+    several = [([1, 1, 0], [0, 0], [1, 1, 1]), ([0, 0], [], [1, 1]), ([1], [0], [1]), ([0], [], [1])]
+    counted = [([1, 0], [0], [2, 1]), ([0], [], [2]), ([1], [0], [1]), ([0], [], [1])]
+    a, b = (toxicity.optimise(["f"], y, x) for x in (several, counted))
+    assert abs(a.weights["f"] - b.weights["f"]) < 1e-6 and abs(a.bias - b.bias) < 1e-6
 
 
 def test_suffix_array(clean, docs):
