@@ -7,17 +7,23 @@ make a band. Lines that share a band (4 parts x 2 bands) are candidates. A pair
 of its shingle sets is at least PERCENT / 100; linked lines are joined by distributed union-find; and of all occurrences
 of a component's lines the first (by doc_id, then place) stays.
 
+Beside its minima a line has a sketch: which of 64 bits a part its shingles hash to. Bits that one of two lines has and the
+other hasn't come from shingles that differ, so their number bounds the similarity from above, and pairs that can't reach
+the threshold are discarded before any text is fetched. The bound never drops a linked pair.
+
 In each band, a line is first paired with the band's first and its previous line, so a band of n lines costs 2 n pairs
-(all there are, up to three lines). Then all lines of the larger bands that still hold several components are joined by
-an exact prefix filter, rare shingles first, so that lines of one template meet in what sets them apart only: no pair
-of different components goes untested unless its sizes or prefixes rule the threshold out.
+(all there are, up to three lines). Once these are linked and joined, lines of the larger bands that still hold several
+components are joined with the band's lines of other components, behind the same bound: no pair that shares a band
+goes untested unless it lies within a component or can't reach the threshold.
 
 At the threshold a pair shares a band with probability 1 - (1 - 0.8 ^ 3) ^ 8 = 0.997 (a little less for lines so short
 that a part is empty); a pair is also found through other members of its component.
 
 Blank lines stay and take no part. Null texts have no lines and stay null; a document whose lines all go keeps its row,
-with an empty text. Rows that repeat both doc_id and text are one document and get the same result; null doc_ids come
-first. Columns other than doc_id and text pass through. An empty table gives an empty table.
+with an empty text. Very long texts are split like others; a very long line costs time in proportion to its length, and
+its shingle set has to fit in a task. Rows that repeat both doc_id and text are one document and get the same result; null
+doc_ids come first. Columns other than doc_id and text pass through, whatever their names; columns named n_lines or
+n_removed are replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from quarry.llm.common import discard, release, store
 from quarry.llm.components import components
 
 SHINGLE, PERCENT = 7, 80
-ROWS, BANDS = 3, 2
+ROWS, BANDS, PARTS = 3, 2, 4
 _random = random.Random(7)
 #: One mask a minimum; the top bits stay as they are, for they choose the part.
 MASKS = [_random.getrandbits(62) for _ in range(ROWS * BANDS)]
@@ -69,21 +75,30 @@ def _id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    return occurrences(docs).groupBy("lid").agg(F.any_value("line").alias("line"))
+def distinct_lines(places: DataFrame) -> DataFrame:
+    return places.groupBy("lid").agg(F.any_value("line").alias("line"))
 
 
-def banded(lines: DataFrame) -> DataFrame:
-    """(lid, first, last, band) of lines that share a band with a smaller one or, where `band` isn't null, of every line of a
-    band that has pairs besides those with the first and the previous line. `lines` is dealt by lid, so minima need no
-    further shuffle."""
+def signatures(lines: DataFrame) -> DataFrame:
+    """(lid, n, sketch words w0 .., bands b0 ..) of each line; n counts its shingles, repeats too. `lines` is dealt by lid, so
+    nothing here needs a further shuffle."""
     d = lines.select("lid", _units(F.col("line")).alias("units"))
     d = d.select("lid", "units", F.explode(_places("units")).alias("place"))
     d = d.select("lid", _hash(F.col("units"), F.col("place")).alias("h"))
     d = d.withColumn("part", F.shiftrightunsigned("h", 62))
-    minima = d.groupBy("lid", "part").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)))
-    bands = F.array(*(F.xxhash64("part", F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
-    rows = minima.select("lid", F.explode(bands).alias("band"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 56).cast("int"))  # by the low six bits of the places
+    minima = d.groupBy("lid", "part").agg(F.count("*").alias("n"), F.bit_or(bit).alias("w"), *(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)))
+    bands = [F.xxhash64("part", F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))).alias(f"b{b}") for b in range(BANDS)]
+    minima = minima.select("lid", "part", "n", "w", *bands)
+    of = lambda c, k: F.max(F.when(F.col("part") == k, F.col(c)))
+    words = [F.coalesce(of("w", k), F.lit(0).cast("long")).alias(f"w{k}") for k in range(PARTS)]
+    return minima.groupBy("lid").agg(F.sum("n").cast("int").alias("n"), *words, *(of(f"b{b}", k).alias(f"b{BANDS * k + b}") for k in range(PARTS) for b in range(BANDS)))
+
+
+def banded(signed: DataFrame) -> DataFrame:
+    """(lid, first, last, band) of lines that share a band with a smaller one or, where `band` isn't null, of every line of a
+    band that has pairs besides those with the first and the previous line."""
+    rows = signed.select("lid", F.explode(F.array(*(f"b{k}" for k in range(PARTS * BANDS)))).alias("band")).filter("band is not null")
     w = W.partitionBy("band").orderBy("lid")
     # offsets and running frames only; a band has four lines if a line's number and its followers come to four
     after = sum(F.lead("lid", k).over(w).isNotNull().cast("int") for k in (1, 2, 3))
@@ -91,84 +106,99 @@ def banded(lines: DataFrame) -> DataFrame:
     return rows.filter("last is not null or least > 3").select("lid", "first", "last", F.when(F.col("least") > 3, F.col("band")).alias("band"))
 
 
-def candidates(bands: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of lines with the first and the previous line of their bands."""
-    pairs = bands.filter("last is not null").select("lid", F.explode(F.array("first", "last")).alias("other")).filter("lid <> other")
-    return pairs.select(F.greatest("lid", "other").alias("a"), F.least("lid", "other").alias("b")).distinct()
+def _side(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{c}_{side}") for c in df.columns))
 
 
-def remaining(bands: DataFrame, lines: DataFrame, groups: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of different components that may reach the threshold, among the lines of bands with several.
+def _possible() -> Column:
+    """Whether sketches and counts of sides x and y leave room for the threshold.
 
-    The overlap of such a pair is at least PERCENT / 100 of the larger set and 2 PERCENT / (100 + PERCENT) of the smaller, so
-    the first common shingle in any order lies among as many of either set as the rest leaves.
+    Sets of sizes s and t that reach it differ in (100 - PERCENT) (s + t) / (100 + PERCENT) shingles at most.
     """
+    differ = sum(F.bit_count(F.col(f"w{k}_x").bitwiseXOR(F.col(f"w{k}_y"))) for k in range(PARTS))
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n_x") + F.col("n_y"))
+
+
+def candidates(bands: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of lines with the first and the previous line of their bands, as far as the bound allows."""
+    pairs = bands.filter("last is not null").select("lid", F.explode(F.array("first", "last")).alias("other")).filter("lid <> other")
+    pairs = pairs.select(F.greatest("lid", "other").alias("a"), F.least("lid", "other").alias("b")).distinct()
+    both = pairs.join(_side(sketches, "x"), F.col("a") == F.col("lid_x")).join(_side(sketches, "y"), F.col("b") == F.col("lid_y"))
+    return both.filter(_possible()).select("a", "b")
+
+
+def remaining(bands: DataFrame, sketches: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different components besides `pairs`, among the lines of bands with several, as far as the
+    bound allows."""
     marked = bands.filter("band is not null").select("band", "lid").join(groups, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
     several = marked.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    open_ = marked.join(several, "band", "left_semi").select("lid", "component").distinct()
-    d = lines.select("lid", _units(F.col("line")).alias("units")).join(open_, "lid").select("lid", "component", shingles("units").alias("s"))
-    d = d.select("lid", "component", F.size("s").alias("n"), F.explode("s").alias("h"))
-    often = d.groupBy("h").agg(F.count("*").alias("often"), (F.min("component") != F.max("component")).alias("shared"))
-    d = d.join(often, "h").withColumn("place", F.row_number().over(W.partitionBy("lid").orderBy("often", "h")) - 1)
-    d = store(d.filter(f"shared and place <= n - ({PERCENT} * n + 99) div 100").drop("often", "shared"), "line-prefixes")
-    small = d.filter(f"place <= n - ({2 * PERCENT} * n + {99 + PERCENT}) div {100 + PERCENT}")
-    x, y = (t.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("lid", "component", "n", "place"))) for t, s in ((small, "x"), (d, "y")))
-    n, m = F.col("n_x"), F.col("n_y")
-    possible = (100 * n >= PERCENT * m) & ((100 + PERCENT) * F.least(n - F.col("place_x"), m - F.col("place_y")) >= PERCENT * (n + m))
-    both = x.join(y, "h").filter((F.col("component_x") != F.col("component_y")) & (n <= m) & possible)
-    return both.select(F.greatest("lid_x", "lid_y").alias("a"), F.least("lid_x", "lid_y").alias("b")).distinct()
-
-
-def linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    open_ = store(marked.join(several, "band", "left_semi").join(sketches, "lid"), "line-open")
+    both = _side(open_, "x").join(_side(open_, "y"), F.col("band_x") == F.col("band_y"))
+    both = both.filter((F.col("lid_x") > F.col("lid_y")) & (F.col("component_x") != F.col("component_y")) & _possible())
+    found = store(both.select(F.col("lid_x").alias("a"), F.col("lid_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    discard(open_)
+    return found
+
+
+def linked(pairs: DataFrame, places: DataFrame) -> DataFrame:
     """The pairs whose exact similarity reaches the threshold."""
-    a, b = (lines.select(F.col("lid").alias(c), _units(F.col("line")).alias(f"units_{c}")) for c in "ab")
-    # explode of one row keeps the filters from being pushed below the sets (on 0.10 GB this made no measurable difference)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
+    lines = store(distinct_lines(places.select("lid", "line").join(needed, "lid", "left_semi")).select("lid", _units(F.col("line")).alias("units")), "lines")
+    release(pairs.sparkSession)
+    a, b = (lines.select(F.col("lid").alias(c), F.col("units").alias(f"units_{c}")) for c in "ab")
+    # explode of one row: the sets are worked out once, not in each of the conditions
     sets = F.explode(F.array(F.struct(shingles("units_a").alias("x"), shingles("units_b").alias("y"))))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", sets.alias("s")).select("a", "b", "s.x", "s.y")
     n, m = F.size("x"), F.size("y")
-    similar = 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
-    return both.filter(similar & ((100 + PERCENT) * F.size(F.array_intersect("x", "y")) >= PERCENT * (n + m))).select("a", "b")
+    found = store(both.filter((100 + PERCENT) * F.size(F.array_intersect("x", "y")) >= PERCENT * (n + m)).select("a", "b"), "line-links")
+    discard(lines)
+    release(pairs.sparkSession)
+    return found
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(id, th, gone): numbers of the lines to remove from each document that has any."""
     spark = docs.sparkSession
-    bands = store(banded(distinct_lines(docs)), "line-bands")
+    places = store(occurrences(docs), "line-places")
+    signed = store(signatures(distinct_lines(places.select("lid", "line"))), "line-signatures")
     release(spark)
-    pairs = store(candidates(bands), "line-pairs")
+    bands = store(banded(signed), "line-bands")
     release(spark)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    lines = store(distinct_lines(docs).join(needed, "lid", "left_semi"), "lines")
+    used = bands.select(F.explode(F.array("lid", "first")).alias("lid")).distinct()
+    sketches = store(signed.select("lid", "n", *(f"w{k}" for k in range(PARTS))).join(used, "lid", "left_semi"), "line-sketches")
+    discard(signed)
     release(spark)
-    edges = store(linked(pairs, lines), "line-links")
+    pairs = store(candidates(bands, sketches), "line-pairs")
     release(spark)
+    edges = linked(pairs, places)
     groups = components(edges).select(F.col("node").alias("lid"), "component")
-    rest = store(remaining(bands, lines, groups).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    rest = remaining(bands, sketches, groups, pairs)
     release(spark)
+    for table in (bands, sketches, pairs):
+        discard(table)
     if not rest.isEmpty():
-        edges = edges.union(store(linked(rest, lines), "line-links"))
-        release(spark)
+        edges = edges.union(linked(rest, places))
         groups = components(edges).select(F.col("node").alias("lid"), "component")
-    for table in (bands, pairs, lines, rest):
-        discard(table)
-    o = occurrences(docs).select("id", "th", "no", "lid").join(groups, "lid", "left")
-    o = store(o.select("id", "th", "no", F.coalesce("component", "lid").alias("component")), "line-places")
+    discard(rest)
+    o = places.select("id", "th", "no", "lid").join(groups, "lid", "left").select("id", "th", "no", F.coalesce("component", "lid").alias("component"))
+    first = store(o.groupBy("component").agg(F.min(F.struct("id", "th", "no")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first"), "line-firsts")
+    gone = o.join(first, "component").filter(F.struct("id", "th", "no") != F.col("first"))
+    gone = store(gone.groupBy("id", "th").agg(F.collect_list("no").alias("gone")), "line-removals")
+    discard(places)
+    discard(first)
     release(spark)
-    first = o.groupBy("component").agg(F.min(F.struct("id", "th", "no")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = o.join(first.select("component", "first"), "component").filter(F.struct("id", "th", "no") != F.col("first"))
-    return gone.groupBy("id", "th").agg(F.collect_list("no").alias("gone"))
+    return gone
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """`docs` without repeated lines, with n_lines and n_removed added (blank lines count as lines, and stay)."""
     made = ["n_lines", "n_removed"]
-    kept = [c for c in docs.columns if c not in made]
-    gone = store(removals(docs), "line-removals").select(F.col("id").alias("_i"), F.col("th").alias("_t"), "gone")
-    release(docs.sparkSession)
-    d = docs.select(*kept, _id().alias("_id"), F.xxhash64("text").alias("_th"))
-    d = d.join(gone, (F.col("_id") == F.col("_i")) & (F.col("_th") == F.col("_t")), "left").withColumn("_lines", F.split("text", "\n"))
+    kept = [c for c in docs.columns if c.lower() not in made]
+    rows = docs.select(F.struct(*kept).alias("row"), "text", _id().alias("id"), F.xxhash64("text").alias("th"))  # no name of the input is in reach
+    gone = removals(docs.select("doc_id", "text"))
+    d = rows.join(gone, ["id", "th"], "left").select("row", "gone", F.split("text", "\n").alias("lines"))
     # of numbers first and by hash, so that the cost stays linear in the lines
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    columns = [text.alias(c) if c == "text" else F.col(c) for c in kept]
-    return d.select(*columns, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
+    columns = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in kept]
+    return d.select(*columns, F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
