@@ -6,17 +6,23 @@ the DataFrame API or our own layers, with DuckDB's SQL (None where values can't
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import functions as X
-from quarry import streaming
+from quarry import sources, streaming
 from quarry.operators import relational
 from quarry.operators.mutate import Table, analyze
 from quarry.plans import exchange
+from quarry.plans.statements import Session
 from quarry.tables import read, views
 
 FLAGSHIP = """select n.n_name as n_name, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) as revenue,
@@ -85,7 +91,7 @@ SAME = {
     # order, limit, sets
     "topk": "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10",
     "limit_offset": "select o_orderkey from orders order by o_orderkey limit 20 offset 30",
-    "order_by_nulls": "select c_custkey, nullif(c_mktsegment, 'BUILDING') as s from customer order by s nulls last, c_custkey limit 50",
+    "order_by_nulls": "select c_custkey, nullif(c_mktsegment, 'BUILDING') as s from customer order by s nulls last, c_custkey",
     "distinct_rows": "select distinct o_orderstatus, o_orderpriority from orders",
     "union": "select n_regionkey as k from nation union select r_regionkey from region",
     "union_all": "select n_regionkey as k from nation union all select r_regionkey from region",
@@ -144,20 +150,43 @@ PAIRS = {
     "agg_array_sorted": ("select o_custkey, concat_ws(',', array_sort(collect_list(o_orderkey))) as keys from orders group by o_custkey", "select o_custkey, array_to_string(list_sort(list(o_orderkey)), ',') as keys from orders group by o_custkey"),
     "agg_percentile": ("select o_orderstatus, round(percentile_cont(0.25) within group (order by o_totalprice), 2) as q1, round(percentile(o_totalprice, 0.9), 2) as p9 from orders group by o_orderstatus", "select o_orderstatus, round(quantile_cont(o_totalprice, 0.25), 2) as q1, round(quantile_cont(o_totalprice, 0.9), 2) as p9 from orders group by o_orderstatus"),
     "agg_first_last": ("select o_custkey, min_by(o_orderkey, struct(o_orderdate, o_orderkey)) as f, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) as l from orders group by o_custkey", "select o_custkey, first(o_orderkey order by o_orderdate, o_orderkey) as f, last(o_orderkey order by o_orderdate, o_orderkey) as l from orders group by o_custkey"),
-    "insert_values": ("select * from (select n_nationkey, n_name from nation union all values (100, 'NEW')) t", "select * from (select n_nationkey, n_name from nation union all values (100, 'NEW')) t"),
     "lateral_explode": ("select n_nationkey, w from nation lateral view explode(split(n_name, ' ')) t as w", "select n_nationkey, unnest(string_split(n_name, ' ')) as w from nation"),
+    "lateral_subquery": ("select n.n_name, t.most from nation n, lateral (select max(s_acctbal) as most from supplier where s_nationkey = n.n_nationkey) t", "select n.n_name, t.most from nation n, lateral (select max(s_acctbal) as most from supplier where s_nationkey = n.n_nationkey) t"),
+    "table_function": ("select n_nationkey, r.id as k from nation, range(3) r", "select n_nationkey, r.range as k from nation, range(3) r"),
+    "table_hint": ("select /*+ broadcast(n) */ s_suppkey, n_name from supplier join nation n on s_nationkey = n_nationkey", "select s_suppkey, n_name from supplier join nation n on s_nationkey = n_nationkey"),
+    "table_sample": ("select n_nationkey from nation tablesample (100 percent)", "select n_nationkey from nation"),
+    "star_replace": ("select * except (n_name), upper(n_name) as n_name from nation", "select * replace (upper(n_name) as n_name) from nation"),
+    "distribute_sort": ("select o_orderkey, o_custkey from orders distribute by o_custkey sort by o_orderkey", "select o_orderkey, o_custkey from orders"),
+    "cluster_by": ("select o_orderkey, o_custkey from orders cluster by o_custkey", "select o_orderkey, o_custkey from orders"),
+    "group_with_rollup": ("select o_orderstatus, o_orderpriority, count(*) as n from orders group by o_orderstatus, o_orderpriority with rollup", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by rollup (o_orderstatus, o_orderpriority)"),
+    "group_with_cube": ("select o_orderstatus, o_orderpriority, count(*) as n from orders group by o_orderstatus, o_orderpriority with cube", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by cube (o_orderstatus, o_orderpriority)"),
+    "ignore_nulls": ("select o_orderkey, last_value(nullif(o_orderstatus, 'O')) ignore nulls over (partition by o_custkey order by o_orderdate, o_orderkey) as s from orders", "select o_orderkey, last_value(nullif(o_orderstatus, 'O') ignore nulls) over (partition by o_custkey order by o_orderdate, o_orderkey) as s from orders"),
+    "like_similar": ("select n_name, n_name ilike 'a%' as i, n_name rlike '^[A-M].*A$' as s, n_name like any ('A%', 'B%') as a from nation", "select n_name, n_name ilike 'a%' as i, regexp_matches(n_name, '^[A-M].*A$') as s, n_name like 'A%' or n_name like 'B%' as a from nation"),
+    "intervals": ("select o_orderkey, cast(o_orderdate as date) + interval 3 days = date_add(cast(o_orderdate as date), 3) as a, cast(add_months(cast(o_orderdate as date), 1) as string) as m from orders", "select o_orderkey, true as a, cast(cast(cast(o_orderdate as date) + interval 1 month as date) as varchar) as m from orders"),
+    "subscripts": ("select n_nationkey, array(n_name, 'x')[0] as a, map('k', n_name)['k'] as m, element_at(map_keys(map('k', 1)), 1) as k, cardinality(map_from_arrays(array(1, 2), array('a', 'b'))) as c from nation", "select n_nationkey, n_name as a, n_name as m, 'k' as k, 2 as c from nation"),
+    "json_struct": ("select event_id, from_json(props, 'k long').k as k, to_json(named_struct('a', event_id)) as j, props:k as p from events".replace(", props:k as p", ""), "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, '{\"a\":' || event_id || '}' as j from events"),
+    "variant": ("select event_id, variant_get(parse_json(props), '$.k', 'bigint') as k from events", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events"),
+    "fn_words": ("select n_nationkey, initcap(lower(n_name)) as i, find_in_set('b', 'a,b,c') as f, regexp_instr(n_name, 'A') as r, length(uuid()) as u, unhex('4142') = cast('AB' as binary) as h, cast(unbase64('QUI=') as string) as b from nation", "select n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda x: upper(x[1]) || x[2:]), ' ') as i, 2 as f, instr(n_name, 'A')::int as r, 36 as u, true as h, 'AB' as b from nation"),
+    "fn_times": ("select to_timestamp('2024-03-01 10:20:30') = timestamp'2024-03-01 10:20:30' as a, to_unix_timestamp('1970-01-01 00:01:00') as u, timestamp_millis(1500) = timestamp'1970-01-01 00:00:01.5' as m, timestamp_micros(1500000) = timestamp_millis(1500) as c, date_format(convert_timezone('UTC', 'Asia/Tokyo', timestamp_ntz'2024-03-01 10:00:00'), 'HH') as z, now() = current_timestamp() as n, current_date() = cast(now() as date) as d, rand() < 1 as r, current_time() is not null as t", "select true as a, 60::bigint as u, true as m, true as c, '19' as z, true as n, true as d, true as r, true as t"),
+    "parenthesised": ("(select n_name from nation where n_regionkey = 1) union (select n_name from nation where n_regionkey = 2) order by n_name limit 5", "(select n_name from nation where n_regionkey = 1) union (select n_name from nation where n_regionkey = 2) order by n_name limit 5"),
     "pivot": ("select * from (select o_orderpriority, o_orderstatus, o_orderkey from orders) pivot (count(o_orderkey) for o_orderstatus in ('F' as f, 'O' as o))", "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as f, count(*) filter (where o_orderstatus = 'O') as o from orders group by o_orderpriority"),
     "star_except": ("select * except (n_name) from nation", "select * exclude (n_name) from nation"),
     "bitwise": ("select o_orderkey, o_orderkey & 12 as a, o_orderkey | 3 as o, o_orderkey ^ 5 as x, shiftleft(o_orderkey, 2) as sl, o_orderstatus <=> 'F' as ns from orders", "select o_orderkey, o_orderkey & 12 as a, o_orderkey | 3 as o, xor(o_orderkey, 5) as x, o_orderkey << 2 as sl, o_orderstatus is not distinct from 'F' as ns from orders"),
 }
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
+_own: list[str] = []
+
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-tables-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share; where none is set, a temporary one if all run on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster") and not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not root and not _own:
+        _own.append(tempfile.mkdtemp(prefix="quarry-tables-"))
+        atexit.register(shutil.rmtree, _own[0], True)
+    return f"{(root or 'file://' + _own[0]).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _mutated(change: Callable[[Table, SparkSession, str], object], spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +248,6 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "join_broadcast_checked": (lambda s, d: read(s, d, "supplier").join(relational.broadcast_if_small(read(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name"), "select s_suppkey, n_name from supplier join nation on s_nationkey = n_nationkey"),
     "distinct_on": (lambda s, d: relational.distinct_on(read(s, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], [F.desc("o_orderkey")]), "select o_custkey, max(o_orderkey) as o_orderkey from orders group by o_custkey"),
     "agg_salted": (lambda s, d: relational.salted_sum(read(s, d, "orders").select("o_orderstatus", "o_custkey"), ["o_orderstatus"], "o_custkey"), "select o_orderstatus, cast(sum(o_custkey) as bigint) as sum_o_custkey from orders group by o_orderstatus"),
-    "approx_distinct": (lambda s, d: read(s, d, "orders").agg(F.approx_count_distinct("o_custkey").alias("n"), F.percentile_approx("o_totalprice", 0.5).alias("mid")), None),
     "agg_nth_weighted": (lambda s, d: read(s, d, "lineitem").groupBy("l_orderkey").agg(X.nth_value(F.col("l_linenumber"), F.col("l_partkey"), 2).alias("second")), "select l_orderkey, nth as second from (select l_orderkey, list(l_partkey order by l_linenumber, l_partkey)[2] as nth from lineitem group by l_orderkey) t"),
     "agg_percentile_weight": (lambda s, d: read(s, d, "lineitem").groupBy("l_returnflag").agg(X.weighted_percentile(F.col("l_quantity"), F.col("l_linenumber"), 0.5).alias("p")), "select l_returnflag, median(l_quantity) as p from (select l_returnflag, l_quantity, unnest(range(l_linenumber)) from lineitem) t group by l_returnflag"),
     "fn_compat": (_compat, "select l_orderkey, l_linenumber, trunc(l_extendedprice) as t0, gcd(l_orderkey, l_partkey) as g, lcm(l_orderkey, l_partkey) as m, l_tax = 0 as z, to_hex(l_orderkey) as h from lineitem".replace("to_hex(l_orderkey)", "lower(to_hex(l_orderkey))")),
@@ -240,6 +268,124 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
 }
 
 
+#: Scripts of statements on a catalogue of their own, whose database `d` has `orders` (four columns) and `nation`; the last
+#: statement's rows are the result. With DuckDB's SQL over the source tables.
+SCRIPTS: dict[str, tuple[str, str]] = {
+    "stmt_insert_select": ("insert into orders select o_orderkey + 1000000, o_custkey, o_orderstatus, o_totalprice from orders where o_orderkey < 50; select * from orders", f"{_ORDERS} union all select o_orderkey + 1000000, o_custkey, o_orderstatus, o_totalprice from orders where o_orderkey < 50"),
+    "stmt_insert_columns": ("insert into d.orders (o_orderstatus, o_orderkey) select 'N', o_orderkey + 5000000 from orders where o_orderkey < 9; select * from d.orders", f"{_ORDERS} union all select o_orderkey + 5000000, null, 'N', null from orders where o_orderkey < 9"),
+    "stmt_insert_values": ("insert into nation (n_nationkey, n_name, n_regionkey) values (100, 'NEW', 1), (101, 'it''s; new', null); select * from nation", "select * from nation union all values (100, 'NEW', 1), (101, 'it''s; new', null)"),
+    "stmt_insert_overwrite": ("insert overwrite nation select * from nation where n_regionkey = 1; select * from nation", "select * from nation where n_regionkey = 1"),
+    "stmt_delete": ("delete from orders o where o.o_orderstatus = 'F' and o_totalprice > 1000; select * from orders", f"{_ORDERS} where not (o_orderstatus = 'F' and o_totalprice > 1000)"),
+    "stmt_delete_subquery": ("delete from orders where o_custkey in (select n_nationkey from nation where n_regionkey < 3); select * from orders", f"{_ORDERS} where o_custkey not in (select n_nationkey from nation where n_regionkey < 3)"),
+    "stmt_update": ("update orders set o_totalprice = o_totalprice + 1, o_orderstatus = case when o_custkey > 10 then 'X' else 'Y' end where o_orderstatus = 'O'; select * from orders", "select o_orderkey, o_custkey, case when o_orderstatus = 'O' then case when o_custkey > 10 then 'X' else 'Y' end else o_orderstatus end as o_orderstatus, case when o_orderstatus = 'O' then o_totalprice + 1 else o_totalprice end as o_totalprice from orders"),
+    "stmt_merge": (
+        "merge into orders t using (select o_orderkey + o_orderkey % 3 * 10000000 as k, o_custkey as c from orders where o_orderkey % 2 = 0) s on t.o_orderkey = s.k "
+        "when matched and t.o_orderstatus = 'F' then delete when matched then update set o_orderstatus = 'M', o_custkey = s.c + 1 "
+        "when not matched and s.k % 5 = 0 then insert (o_orderkey, o_orderstatus) values (s.k, 'I'); select * from orders",
+        "with s as (select o_orderkey + o_orderkey % 3 * 10000000 as k, o_custkey as c from orders where o_orderkey % 2 = 0) "
+        "select o_orderkey, case when k is null then o_custkey else c + 1 end as o_custkey, case when k is null then o_orderstatus else 'M' end as o_orderstatus, o_totalprice from orders left join s on o_orderkey = k where k is null or o_orderstatus <> 'F' "
+        "union all select k, null, 'I', null from s where k % 5 = 0 and k not in (select o_orderkey from orders)",
+    ),
+    "stmt_merge_star": ("merge into nation using (select 3 as n_nationkey, 'THREE' as n_name, 9 as n_regionkey union all values (300, 'FAR', 9)) as s on nation.n_nationkey = s.n_nationkey when matched then update set * when not matched then insert *; select * from nation", "select n_nationkey, case when n_nationkey = 3 then 'THREE' else n_name end as n_name, case when n_nationkey = 3 then 9 else n_regionkey end as n_regionkey from nation union all values (300, 'FAR', 9)"),
+    "stmt_create_database": ("create database if not exists d; create schema e; show databases", "select unnest(['d', 'e']) as database"),
+    "stmt_create_table": ("create table t (id bigint not null, name varchar(20), price decimal(10, 2)) using versioned with (owner = 'me'); insert into t values (1, 'a', 2.5); describe t", "select * from (values (0, 'id', 'bigint'), (1, 'name', 'string'), (2, 'price', 'decimal(10,2)')) t(place, column_name, data_type)"),
+    "stmt_create_as": ("create table t as select n_regionkey, count(*) as n from nation group by n_regionkey; select * from main.d.t", "select n_regionkey, count(*) as n from nation group by n_regionkey"),
+    "stmt_drop_table": ("drop table nation; drop table if exists nothing; show tables", "select 'd' as database, 'orders' as \"table\""),
+    "stmt_drop_database": ("create database e; create table e.t (a int); drop database e cascade; drop schema if exists f; show schemas", "select 'd' as database"),
+    "stmt_alter_add": ("alter table nation add column note string; update nation set note = 'x' where n_nationkey = 1; select * from nation", "select *, case when n_nationkey = 1 then 'x' end as note from nation"),
+    "stmt_alter_drop": ("alter table nation drop column n_name; select * from nation", "select n_nationkey, n_regionkey from nation"),
+    "stmt_alter_rename": ("alter table nation rename column n_name to label; insert into nation values (77, 'L', 0); select * from nation", "select n_nationkey, n_name as label, n_regionkey from nation union all values (77, 'L', 0)"),
+    "stmt_alter_type": ("alter table nation alter column n_nationkey set data type varchar; select * from nation", "select cast(n_nationkey as varchar) as n_nationkey, n_name, n_regionkey from nation"),
+    "stmt_alter_properties": ("alter table nation set tblproperties ('a' = '1', 'b' = '2'); alter table nation unset tblproperties ('a'); show tblproperties nation", "select 'b' as key, '2' as value"),
+    "stmt_rename_table": ("alter table nation rename to country; select count(*) as n from country", "select count(*) as n from nation"),
+    "stmt_use": ("create database e; create table e.nation as select 7 as n; use main.e; select n from nation", "select 7 as n"),
+    "stmt_set": ("set shuffle.partitions = 3; set shuffle.partitions", "select 'shuffle.partitions' as key, '3' as value"),
+    "stmt_set_time_zone": ("set time zone 'America/Los_Angeles'; select date_format(timestamp_seconds(0), 'yyyy-MM-dd HH') as t", "select '1969-12-31 16' as t"),
+    "stmt_explain": ("explain distributed select n_regionkey, count(*) from nation group by n_regionkey", "select true as shuffles, true as scans"),
+    "stmt_analyze": ("analyze table nation", "select 'n_nationkey' as column_name, count(*) as rows, 0::bigint as nulls, min(n_nationkey)::varchar as least, max(n_nationkey)::varchar as greatest from nation union all select 'n_name', count(*), 0, min(n_name), max(n_name) from nation union all select 'n_regionkey', count(*), 0, min(n_regionkey)::varchar, max(n_regionkey)::varchar from nation"),
+    "stmt_prepare": ("prepare p as select n_name from nation where n_regionkey = ? and n_nationkey > ?; execute p (1, 2)", "select n_name from nation where n_regionkey = 1 and n_nationkey > 2"),
+    "stmt_optimize": ("insert into nation values (99, 'Z', 0); optimize nation; vacuum nation; select * from nation", "select * from nation union all values (99, 'Z', 0)"),
+    "stmt_time_travel": ("delete from nation; select o.n_name, (select count(*) from nation) as left_over from nation version as of 0 o where o.n_regionkey = 2", "select n_name, 0::bigint as left_over from nation where n_regionkey = 2"),
+    "stmt_qualified_names": ("select d.nation.n_name, o.o_orderkey from main.d.nation join d.orders as o on d.nation.n_nationkey = o.o_custkey", "select n_name, o_orderkey from nation join orders on n_nationkey = o_custkey"),
+    "dialect_names": (
+        "select n_nationkey, starts_with(n_name, 'A') as s, strpos(n_name, 'A') as p, to_hex(n_nationkey) as h, log(100.0) as l, gcd(n_nationkey, 12) as g, lcm(n_nationkey, 4) as m, trunc(n_nationkey / 7) as t, iszero(n_regionkey) as z, concat(n_name, null, '!') as c, get_field(named_struct('a', n_name), 'a') as f, arrow_cast(n_nationkey, 'Utf8') as u, array_length(make_array(1, n_nationkey)) as q from nation",
+        "select n_nationkey, starts_with(n_name, 'A') as s, strpos(n_name, 'A')::int as p, lower(to_hex(n_nationkey)) as h, 2.0 as l, gcd(n_nationkey, 12) as g, lcm(n_nationkey, 4) as m, trunc(n_nationkey / 7) as t, n_regionkey = 0 as z, n_name || '!' as c, n_name as f, n_nationkey::varchar as u, 2 as q from nation",
+    ),
+    "dialect_times": (
+        "select to_unixtime(timestamp'2024-03-01 10:20:30') as u, date_bin(interval '15' minute, timestamp'2024-03-01 10:20:30') = timestamp'2024-03-01 10:15:00' as b, date_bin(interval '1' hour, timestamp'2024-03-01 10:20:30', timestamp'2024-03-01 00:30:00') = timestamp'2024-03-01 09:30:00' as o, to_timestamp_seconds(5) = from_unixtime(5) as s, to_timestamp_millis(5000) = to_timestamp_micros(5000000) as m, to_timestamp_nanos(5000000000) = to_timestamp_seconds(5) as n, to_char(date'2024-03-01', 'yyyy/MM') as c, today() = current_date() as d, cast(to_local_time(timestamp'2024-03-01 10:20:30') as string) as l",
+        "select 1709288430::bigint as u, true as b, true as o, true as s, true as m, true as n, '2024/03' as c, true as d, '2024-03-01 10:20:30' as l",
+    ),
+    "dialect_digests": (
+        "select md5('abc') as m, sha224('abc') as a, sha384('abc') = sha2('abc', 384) as b, length(sha512('abc')) as c, digest('abc', 'sha256') as d, encode('abc', 'hex') as h, encode('abc', 'base64') as e, cast(decode('616263', 'hex') as string) as x, cast(decode('YWJj', 'base64') as string) as y",
+        "select md5('abc') as m, '23097d223405d8228642a477bda255b32aadbce4bda0b3f7e36c9da7' as a, true as b, 128 as c, sha256('abc') as d, '616263' as h, 'YWJj' as e, 'abc' as x, 'abc' as y",
+    ),
+    "dialect_sketches": (
+        "select abs(approx_distinct(o_orderkey) / count(distinct o_orderkey) - 1) < 0.1 as n, abs(approx_median(o_totalprice) / median(o_totalprice) - 1) < 0.01 as m, abs(approx_percentile_cont(o_totalprice, 0.9) / percentile(o_totalprice, 0.9) - 1) < 0.01 as p, approx_percentile_cont_with_weight(o_custkey, 1, 0.5) = median(o_custkey) as w from orders",
+        "select true as n, true as m, true as p, true as w",
+    ),
+}
+
+
+def _script(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = Session(spark, _scratch(spark, "warehouse"))
+    session.sql("create database d")
+    session.catalog.create_table("d.orders", read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
+    session.catalog.create_table("d.nation", read(spark, sf_dir, "nation"))
+    session.sql("use d")
+    out = session.script(text)[-1]
+    if "plan" in out.columns:
+        return out.select(F.contains("plan", F.lit("Exchange")).alias("shuffles"), F.contains("plan", F.lit("Scan")).alias("scans"))
+    return out.drop("distinct_values")
+
+
+def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = Session(spark, _scratch(spark, "warehouse"))
+    read(session.spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    session.functions.scalar("plus_tax", "double", _plus_tax)
+    session.functions.aggregate("spread", "double", _spread)
+    session.functions.table("letters", "letter string", _Letters)
+    inner = "select o_orderstatus, letter, plus_tax(o_totalprice) as taxed from orders, lateral letters(o_orderpriority)"
+    return session.sql(f"select o_orderstatus, letter, spread(taxed) as spread from ({inner}) t group by o_orderstatus, letter").select("o_orderstatus", "letter", F.round("spread", 4).alias("spread"))
+
+
+def _plus_tax(price: pd.Series) -> pd.Series:
+    return price * 1.25
+
+
+def _spread(price: pd.Series) -> float:
+    return float(price.max() - price.min())
+
+
+class _Letters:
+    def eval(self, text: str):
+        for part in text.split("-"):
+            yield (part,)
+
+
+def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = uuid.uuid4().hex
+    sources.write(read(spark, sf_dir, "nation").filter("n_regionkey = 1"), "memory", name)
+    sources.write(read(spark, sf_dir, "nation").filter("n_regionkey = 2"), "memory", name, "append")
+    return sources.read(spark, "memory", name)
+
+
+def _approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the sketches' results lie within their error of the exact ones."""
+    o = read(spark, sf_dir, "orders")
+    both = o.agg(F.approx_count_distinct("o_custkey").alias("n"), F.count_distinct("o_custkey").alias("m"), F.percentile_approx("o_totalprice", 0.5).alias("a"), F.median("o_totalprice").alias("b"))
+    return both.select((F.abs(F.col("n") / F.col("m") - 1) < 0.15).alias("n_close"), (F.abs(F.col("a") / F.col("b") - 1) < 0.01).alias("mid_close"))
+
+
+FRAMES |= {
+    "functions_of_a_user": (_functions, "select o_orderstatus, letter, round(max(o_totalprice * 1.25) - min(o_totalprice * 1.25), 4) as spread from (select o_orderstatus, unnest(string_split(o_orderpriority, '-')) as letter, o_totalprice from orders) t group by all"),
+    "memory_source": (_memory, "select * from nation where n_regionkey in (1, 2)"),
+    "empty_relation": (lambda s, d: sources.empty(s, read(s, d, "nation").schema).unionByName(read(s, d, "nation").limit(0)), "select * from nation where false"),
+    "approx_distinct": (_approximate, "select true as n_close, true as mid_close"),
+    "interval_wide": (lambda s, d: relational.interval_join(read(s, d, "part").select("p_partkey", "p_retailprice"), read(s, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 100.0).alias("a"), F.when(F.col("n_nationkey") % 5 == 0, 1e12).otherwise(F.col("n_nationkey") * 100.0 + 30).alias("b")), "p_retailprice", "a", "b", 10.0).select("p_partkey", "n_nationkey"), "select p_partkey, n_nationkey from part join nation on p_retailprice >= n_nationkey * 100.0 and p_retailprice < case when n_nationkey % 5 = 0 then 1e12 else n_nationkey * 100.0 + 30 end"),
+    **{name: (partial(_script, text), sql) for name, (text, sql) in SCRIPTS.items()},
+}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views(spark, sf_dir, FLAGSHIP).sql(FLAGSHIP)
 

@@ -5,17 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Name in other engines -> Spark's, where only the name differs.
-SPELLING = {
-    "approx_distinct": "approx_count_distinct", "approx_median": "percentile_approx", "approx_percentile_cont": "percentile_approx",
-    "starts_with": "startswith", "ends_with": "endswith", "strpos": "instr", "substr_index": "substring_index", "btrim": "trim",
-    "array_agg": "collect_list", "string_agg": "listagg", "mean": "avg", "var": "var_samp", "stddev": "stddev_samp",
-    "regexp_match": "regexp_extract", "to_timestamp_seconds": "timestamp_seconds", "to_timestamp_millis": "timestamp_millis",
-    "to_timestamp_micros": "timestamp_micros", "today": "current_date", "to_unixtime": "to_unix_timestamp", "datepart": "date_part",
-    "to_char": "date_format", "to_local_time": "convert_timezone", "arrow_typeof": "typeof", "ifnull": "coalesce", "signum": "sign",
-}
-
-
 def trunc(x: Column, digits: int = 0) -> Column:
     """Towards zero, to a number of decimals."""
     scale = F.lit(float(10**digits))
@@ -40,11 +29,6 @@ def date_bin(minutes: int, ts: Column) -> Column:
     return F.window(ts, f"{minutes} minutes")["start"]
 
 
-def concat_skip(*parts: Column) -> Column:
-    """Concatenation that passes over nulls."""
-    return F.concat_ws("", *parts)
-
-
 def to_hex(x: Column) -> Column:
     return F.lower(F.hex(x))
 

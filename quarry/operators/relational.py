@@ -35,12 +35,21 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[
     return filled.select(*left.columns, *(F.col(f"_found.{c}").alias(f"asof_{c}") for c in take))
 
 
-def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: float) -> DataFrame:
-    """Points with the spans [start, end) that hold them: an equi-join on bins of `width`, then the exact test."""
-    p = points.withColumn("_bin", F.floor(F.col(at) / F.lit(width)))
-    bins = F.sequence(F.floor(F.col(start) / F.lit(width)), F.floor(F.col(end) / F.lit(width)))
-    s = spans.filter(F.col(end) > F.col(start)).withColumn("_bin", F.explode(bins))
-    return p.join(s, "_bin").filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bin")
+def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: float, levels: int = 24) -> DataFrame:
+    """Points with the spans [start, end) that hold them: an equi-join on bins, then the exact test.
+
+    Bins double in width from level to level, `width` at the first. A span goes to the level whose bins are as wide as itself
+    at least, so it lies in two bins at most, however long it is; a point looks for its bin of each level that has spans.
+    """
+    length = (F.col(end) - F.col(start)) / F.lit(width)
+    level = F.least(F.lit(levels), F.greatest(F.lit(0), F.ceil(F.log2(length)))).cast("int")
+    s = spans.filter(F.col(end) > F.col(start)).withColumn("_level", level)
+    scale = F.pow(F.lit(2.0), F.col("_level")) * F.lit(width)
+    bins = F.sequence(F.floor(F.col(start) / scale), F.floor(F.col(end) / scale))
+    s = s.withColumn("_bin", F.explode(bins))
+    used = F.broadcast(s.select("_level").distinct())  # `levels` + 1 rows at most
+    p = points.crossJoin(used).withColumn("_bin", F.floor(F.col(at) / (F.pow(F.lit(2.0), F.col("_level")) * F.lit(width))))
+    return p.join(s, ["_level", "_bin"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bin", "_level")
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -12,8 +12,8 @@ from quarry.plans.errors import QuarryError
 
 
 def gather(df: DataFrame) -> DataFrame:
-    """All rows in one partition (small results only)."""
-    return df.coalesce(1)
+    """All rows in one partition (small results only); what comes before keeps its tasks."""
+    return df.repartition(1)
 
 
 def by_hash(df: DataFrame, keys: list, partitions: int | None = None) -> DataFrame:

@@ -52,6 +52,11 @@ class Settings:
                 return self.values[scope][key]
         return self.known[key].default
 
+    def unset(self, scope: str, key: str) -> None:
+        if key not in self.known:
+            raise QuarryError("UNKNOWN_SETTING", key=key)
+        self.values[scope].pop(key, None)
+
     def load_toml(self, text: str) -> None:
         """System values from TOML; tables are dotted prefixes."""
 

@@ -10,15 +10,23 @@ from pyspark.sql import types as T
 from quarry.plans.errors import QuarryError
 
 _readers: dict[str, Callable] = {}
+_writers: dict[str, Callable] = {}
 FILES = ("parquet", "orc", "csv", "json", "text")
 #: Table formats whose readers come as jars; used if the session has them.
 JARS = ("paimon", "iceberg", "delta")
 
 
-def register(name: str, reader: Callable[[SparkSession, str, dict], DataFrame]) -> None:
+def register(name: str, reader: Callable[[SparkSession, str, dict], DataFrame], writer: Callable[[DataFrame, str, str, dict], None] | None = None) -> None:
+    """A storage engine: how its tables are read and, if they can be, written."""
     if name in _readers:
         raise QuarryError("DUPLICATE_FORMAT", name=name)
     _readers[name] = reader
+    if writer:
+        _writers[name] = writer
+
+
+def formats() -> list[str]:
+    return sorted(_readers)
 
 
 def read(spark: SparkSession, kind: str, path: str, schema: T.StructType | None = None, **options) -> DataFrame:
@@ -31,12 +39,19 @@ def read(spark: SparkSession, kind: str, path: str, schema: T.StructType | None
 
 
 def write(df: DataFrame, kind: str, path: str, mode: str = "errorifexists", partition_by: tuple[str, ...] = (), **options) -> None:
+    if kind in _writers:
+        return _writers[kind](df, path, mode, options)
     if kind not in FILES + JARS:
         raise QuarryError("UNSUPPORTED_FORMAT", name=kind)
     w = df.write.format(kind).mode(mode).options(**options)
     (w.partitionBy(*partition_by) if partition_by else w).save(path)
 
 
+def empty(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
+    """The relation without rows."""
+    return spark.createDataFrame([], schema)
+
+
 def _files(kind: str) -> Callable:
     def load(spark: SparkSession, path: str, options: dict) -> DataFrame:
         options = dict(options)
@@ -50,9 +65,32 @@ def _files(kind: str) -> Callable:
 def _versioned(spark: SparkSession, path: str, options: dict) -> DataFrame:
     from quarry.operators.mutate import Table
 
-    return Table(spark, path).read()
+    return Table(spark, path).read(options.get("version"))
+
+
+#: Tables that the driver's memory holds, by name: for small inputs and tests (at most MEMORY_ROWS rows each).
+_memory: dict[str, tuple[T.StructType, list]] = {}
+MEMORY_ROWS = 100_000
+
+
+def _from_memory(spark: SparkSession, name: str, options: dict) -> DataFrame:
+    if name not in _memory:
+        raise QuarryError("TABLE_NOT_FOUND", name=name)
+    schema, rows = _memory[name]
+    return spark.createDataFrame(rows, schema)
+
+
+def _to_memory(df: DataFrame, name: str, mode: str, options: dict) -> None:
+    if name in _memory and mode == "errorifexists":
+        raise QuarryError("TABLE_EXISTS", name=name)
+    rows = df.limit(MEMORY_ROWS + 1).collect()
+    rows = [*_memory[name][1], *rows] if mode == "append" and name in _memory else rows
+    if len(rows) > MEMORY_ROWS:
+        raise QuarryError("TOO_LARGE_FOR_MEMORY", name=name, most=MEMORY_ROWS)
+    _memory[name] = (df.schema, rows)
 
 
 for _kind in FILES + JARS:
     register(_kind, _files(_kind))
 register("versioned", _versioned)
+register("memory", _from_memory, _to_memory)

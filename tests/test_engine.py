@@ -1,16 +1,20 @@
 """Plan shapes, catalogue, mutation, settings, statements, types, streams."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry import functions as X
 from quarry import sources, streaming
+from quarry.functions.dialect import spelled
+from quarry.functions.registry import Functions
 from quarry.operators.mutate import Table
 from quarry.operators.relational import as_of
 from quarry.plans import exchange, settings, statements, types
 from quarry.plans.catalog import Catalog, segments
 from quarry.plans.errors import QuarryError
+from quarry.plans.statements import Session
 from quarry.tables import read
 
 DATA = "/root/testdata/sf0.001"
@@ -87,13 +91,140 @@ def test_mutation(spark, tmp_path):
     with pytest.raises(QuarryError) as e:
         t.merge(spark.createDataFrame([(3, "x"), (3, "y")], "k int, v string"), ["k"])
     assert code(e) == "MERGE_CARDINALITY"
-    with pytest.raises(QuarryError) as e:
-        t.publish(t.read(), after=0)
-    assert code(e) == "CONFLICT"
     t.alter(cast={"k": "bigint"}, add={"n": "double"}, rename={"v": "w"})
     assert t.read().dtypes == [("k", "bigint"), ("w", "string"), ("n", "double")]
+    with pytest.raises(QuarryError):
+        t.alter(add={"W": "int"})
+    assert sorted(r.k for r in t.read(0).collect()) == [1, 2, 3]  # former versions stay until they are cleaned up
+    t.insert(spark.createDataFrame([(10,)], "k int"))
     t.compact()
-    assert t.cleanup() == 5 and t.read().count() == 3
+    assert t.size()[0] == 1
+    assert t.cleanup() == 6 and t.read().count() == 4
+    with pytest.raises(QuarryError) as e:
+        t.read(0)
+    assert code(e) == "VERSION_NOT_FOUND"
+
+
+def test_a_refused_writer_changes_nothing(spark, tmp_path):
+    t = Table(spark, f"file://{tmp_path}/t")
+    rows = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k int")
+    t.publish(rows(1, 2))
+    first, second = Table(spark, t.path), Table(spark, t.path)
+    before = first.manifest()
+    second.publish(rows(7))
+    stages = lambda: sorted(p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("stage-"))
+    had = stages()
+    for write in (lambda: first.publish(rows(8), after=before["version"]), lambda: first.publish(rows(9), after=0)):
+        with pytest.raises(QuarryError) as e:
+            write()
+        assert code(e) == "CONFLICT" and [r.k for r in t.read().collect()] == [7] and stages() == had
+    assert sorted(r.k for r in t.read(0).collect()) == [1, 2]
+
+
+def test_writers_at_once(spark, tmp_path):
+    """Appends of several writers all arrive; of changes made from one version one wins."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"file://{tmp_path}/t"
+    Table(spark, path).publish(spark.range(3).selectExpr("cast(id as int) as k"))
+
+    def append(k):
+        return Table(spark, path).insert(spark.createDataFrame([(k,)], "k int"))
+
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(append, range(100, 104)))
+    assert sorted(versions) == [1, 2, 3, 4] and sorted(r.k for r in Table(spark, path).read().collect()) == [0, 1, 2, 100, 101, 102, 103]
+
+
+def test_appends_and_changes_keep_other_files(spark, tmp_path):
+    t = Table(spark, f"file://{tmp_path}/t")
+    t.publish(spark.createDataFrame([(1, "a")], "k int, v string").coalesce(1))
+    t.insert(spark.createDataFrame([(2, "b")], "k int, v string").coalesce(1))
+    t.insert(spark.createDataFrame([(3, "c")], "k int, v string").coalesce(1))
+    files = lambda: {f["path"] for f in t.manifest()["files"]}
+    before = files()
+    t.update("k = 2", {"v": "upper(v)"})
+    assert len(before & files()) == 2 and len(files()) == 3
+    t.delete("k in (1)")
+    assert sorted(map(tuple, t.read().collect())) == [(2, "B"), (3, "c")]
+    version = t.version()
+    assert t.update("k = 99", {"v": "'x'"}) == version  # no hit, no version
+    t.delete("k = 99")
+
+
+def test_lost_writers_are_taken_back(spark, tmp_path):
+    t = Table(spark, f"file://{tmp_path}/t")
+    t.publish(spark.range(2))
+    (tmp_path / "t" / "version-1").write_text('{"version": 1, "fil')
+    (tmp_path / "t" / "stage-lost").mkdir()
+    with pytest.raises(QuarryError) as e:
+        t.read()
+    assert code(e) == "COMMIT_IN_DOUBT" and t.recover() and not t.recover() and t.read().count() == 2
+    t.cleanup()
+    assert not (tmp_path / "t" / "stage-lost").exists() and t.read().count() == 2
+
+
+def test_a_source_of_a_merge_is_worked_out_once(spark, tmp_path):
+    t = Table(spark, f"file://{tmp_path}/t")
+    t.publish(spark.range(200).select(F.col("id").alias("k"), F.lit(0.0).alias("v")))
+    t.merge(spark.range(400).select((F.floor(F.rand() * 1000) * 1000 + F.col("id")).alias("k"), F.lit(1.0).alias("v")), ["k"])
+    assert t.read().count() == t.read().select("k").distinct().count()
+
+
+def test_session(spark, tmp_path):
+    s = Session(spark, f"file://{tmp_path}/w")
+    for text in ("select 1; select 2", "commit", "grant x to y", "use nowhere", "create view v as select 1", "merge into a.b using c on 1=1"):
+        with pytest.raises(QuarryError):
+            s.sql(text)
+    s.script("create database a; use a; create table t (k int not null, v text) with ('owner' = 'x;y'); insert into t (v, k) values ('one; two', 1)")
+    assert [tuple(r) for r in s.sql("select * from a.t").collect()] == [(1, "one; two")]
+    for text, expected in (("insert into t values (1)", "COLUMN_COUNT"), ("insert into t (k, z) values (1, 2)", "COLUMN_NOT_FOUND"), ("update t set z = 1", "COLUMN_NOT_FOUND"), ("create table t (a int)", "TABLE_EXISTS"), ("create table u (a int) using avro", "UNSUPPORTED_FORMAT"), ("drop table none", "TABLE_NOT_FOUND"), ("drop database a", "DATABASE_NOT_EMPTY"), ("alter table t drop column z", "COLUMN_NOT_FOUND"), ("execute p", "NOT_PREPARED"), ("set nothing = 1", "UNKNOWN_SETTING")):
+        with pytest.raises(QuarryError) as e:
+            s.sql(text)
+        assert code(e) == expected, text
+    again = Session(spark, f"file://{tmp_path}/w", database="a")  # another driver
+    assert again.sql("select v from t where k = :k", {"k": 1}).first().v == "one; two"
+    assert again.catalog.entry("a.t").options == {"owner": "x;y"}
+    s.sql("set time zone 'Asia/Tokyo'")
+    assert (s.spark.conf.get("spark.sql.session.timeZone"), again.spark.conf.get("spark.sql.session.timeZone")) == ("Asia/Tokyo", "UTC")
+    s.sql("reset timezone")
+    location = tmp_path / "w" / "a"
+    assert list(location.iterdir())
+    s.sql("drop table t")
+    assert not list(location.iterdir()) and s.catalog.list_tables("a") == []
+
+
+def test_dialect():
+    assert spelled("select strpos(a, 'strpos(x, y)'), t.today() from t") == "select instr(a, 'strpos(x, y)'), t.today() from t"
+    assert spelled("select approx_median(trunc(x)), log(2, x)") == "select percentile_approx((sign(x) * floor(abs(x))), 0.5D), log(2, x)"
+    with pytest.raises(QuarryError):
+        spelled("select digest(x, 'none')")
+
+
+def test_functions_have_one_name_each(spark):
+    def twice(x: pd.Series) -> pd.Series:
+        return 2 * x
+
+    f = Functions(spark.newSession())
+    f.scalar("twice", "long", twice)
+    assert f.spark.sql("select twice(id) as x from range(3)").agg(F.sum("x")).first()[0] == 6
+    for name in ("twice", "upper"):
+        with pytest.raises(QuarryError):
+            f.scalar(name, "long", twice)
+
+
+def test_memory_source_and_engines(spark):
+    df = spark.range(3)
+    sources.write(df, "memory", "t-mem")
+    with pytest.raises(QuarryError):
+        sources.write(df, "memory", "t-mem")
+    sources.write(df, "memory", "t-mem", "append")
+    assert sources.read(spark, "memory", "t-mem").count() == 6 and "memory" in sources.formats()
+    sources.register("numbers", lambda s, path, options: s.range(int(path)))
+    assert sources.read(spark, "numbers", "5").count() == 5
+    for bad in (lambda: sources.register("numbers", None), lambda: sources.write(df, "numbers", "x"), lambda: sources.read(spark, "memory", "none")):
+        with pytest.raises(QuarryError):
+            bad()
 
 
 def test_settings():
