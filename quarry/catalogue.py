@@ -378,6 +378,9 @@ def _approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FRAMES |= {
     "functions_of_a_user": (_functions, "select o_orderstatus, letter, round(max(o_totalprice * 1.25) - min(o_totalprice * 1.25), 4) as spread from (select o_orderstatus, unnest(string_split(o_orderpriority, '-')) as letter, o_totalprice from orders) t group by all"),
+    "stream_join": (lambda s, d: streaming.join_within(read(s, d, "events").select("event_id", "user_id", "ts"), read(s, d, "events").filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("bought"), F.col("ts").alias("at")), ["user_id"], "ts", "at", "0 minutes", "30 minutes").select("event_id", "bought"), "select e.event_id, p.event_id as bought from events e join events p on e.user_id = p.user_id and p.event_type = 'purchase' and p.ts between e.ts and e.ts + interval '30 minutes'"),
+    "stream_totals": (lambda s, d: streaming.totals(read(s, d, "events"), "user_id", "value").select("user_id", "n", F.round("total", 6).alias("total")), "select user_id, count(*) as n, round(sum(value), 6) as total from events group by user_id"),
+    "change_log": (lambda s, d: streaming.changes(read(s, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 5 == 0, "D").when(F.col("event_id") % 2 == 0, "U").otherwise("I").alias("op"), "event_type"), "user_id", "event_id"), "select user_id, event_id, op, event_type from (select user_id, event_id, case when event_id % 5 = 0 then 'D' when event_id % 2 = 0 then 'U' else 'I' end as op, event_type, row_number() over (partition by user_id order by event_id desc) as nth from events) t where nth = 1 and op <> 'D'"),
     "memory_source": (_memory, "select * from nation where n_regionkey in (1, 2)"),
     "empty_relation": (lambda s, d: sources.empty(s, read(s, d, "nation").schema).unionByName(read(s, d, "nation").limit(0)), "select * from nation where false"),
     "approx_distinct": (_approximate, "select true as n_close, true as mid_close"),

@@ -1,5 +1,7 @@
 """Plan shapes, catalogue, mutation, settings, statements, types, streams."""
 
+import os
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -283,3 +285,44 @@ def test_stream_equals_batch(spark, tmp_path):
     q = lambda df: streaming.tumble(df, "ts", "1 hour", ["event_type"], F.count("*").alias("n"))
     got = streaming.run_to_end(q(stream), "tumbled")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, q(read(spark, DATA, "events")).collect()))
+
+
+def test_stream_join_equals_batch(spark, tmp_path):
+    read(spark, DATA, "events").repartition(3).write.parquet(f"{tmp_path}/events")
+    schema = read(spark, DATA, "events").schema
+
+    def q(df):
+        bought = df.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("bought"), F.col("ts").alias("at"))
+        return streaming.join_within(df.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "at", "0 minutes", "30 minutes", "10000 days").select("event_id", "bought")
+
+    want = sorted(map(tuple, q(read(spark, DATA, "events")).collect()))
+    got = streaming.run_to_end(q(streaming.read_files(spark, f"{tmp_path}/events", schema)), "joined", "append")
+    assert want and sorted(map(tuple, got.collect())) == want
+
+
+def test_stream_state_equals_batch(spark, tmp_path):
+    read(spark, DATA, "events").repartition(3).write.parquet(f"{tmp_path}/events")
+    stream = streaming.read_files(spark, f"{tmp_path}/events", read(spark, DATA, "events").schema)
+    got = streaming.run_to_end(streaming.totals(stream, "user_id", "value"), "totals", "update")
+    last = {r.user_id: (r.n, round(r.total, 6)) for r in got.orderBy("n").collect()}
+    assert last == {r.user_id: (r.n, round(r.total, 6)) for r in streaming.totals(read(spark, DATA, "events"), "user_id", "value").collect()}
+
+
+def test_late_rows_are_dropped_behind_the_watermark(spark, tmp_path):
+    row = lambda minute: (f"2024-01-01 00:{minute:02d}:00",)
+    for k, minutes in enumerate(([1, 2], [50], [45], [3, 59])):  # minute 3 comes when the watermark is at 40
+        df = spark.createDataFrame([row(m) for m in minutes], "t string").select(F.to_timestamp("t").alias("ts")).coalesce(1)
+        df.write.mode("append").parquet(f"{tmp_path}/late")
+        for f in (tmp_path / "late").glob("*.parquet"):  # files are read in the order of their times
+            if not (tmp_path / f"seen-{f.name}").exists():
+                (tmp_path / f"seen-{f.name}").touch()
+                os.utime(f, (1_700_000_000 + 100 * k,) * 2)
+    stream = streaming.read_files(spark, f"{tmp_path}/late", "ts timestamp")
+    got = streaming.run_to_end(streaming.tumble(stream, "ts", "10 minutes", [], F.count("*").alias("n")), "late", "append")
+    assert sorted((r.window_start.minute, r.n) for r in got.collect())[0] == (0, 2)
+
+
+def test_first_seen(spark, tmp_path):
+    spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:05:00"), (2, "2024-01-01 00:01:00")], "k int, t string").select("k", F.to_timestamp("t").alias("ts")).repartition(2).write.parquet(f"{tmp_path}/seen")
+    stream = streaming.read_files(spark, f"{tmp_path}/seen", "k int, ts timestamp")
+    assert sorted(r.k for r in streaming.run_to_end(streaming.first_seen(stream, ["k"], "ts"), "seen", "append").collect()) == [1, 2]
