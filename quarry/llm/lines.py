@@ -7,14 +7,15 @@ make a band. Lines that share a band (4 parts x 2 bands) are candidates. A pair
 of its shingle sets is at least PERCENT / 100; linked lines are joined by distributed union-find; and of all occurrences
 of a component's lines the first (by doc_id, then place) stays.
 
-Beside its minima a line has a sketch: which of 64 bits a part its shingles hash to. Bits that one of two lines has and the
+Beside its minima a line has a sketch: which of 256 bits a part its shingles hash to. Bits that one of two lines has and the
 other hasn't come from shingles that differ, so their number bounds the similarity from above, and pairs that can't reach
 the threshold are discarded before any text is fetched. The bound never drops a linked pair.
 
-In each band, a line is first paired with the band's first and its previous line, so a band of n lines costs 2 n pairs
-(all there are, up to three lines). Once these are linked and joined, lines of the larger bands that still hold several
-components are joined with the band's lines of other components, behind the same bound: no pair that shares a band
-goes untested unless it lies within a component or can't reach the threshold.
+Bands are worked on in turns. In each, lines are put in an order of the turn's own; a line is paired with its bands' first and
+previous lines of other components, keeps the TRIES partners whose sketches are nearest, and the pairs are verified and
+joined, so a band of n lines costs n entries a turn. Turns end once they find little. Then the lines of bands that still hold
+several components are joined with the band's lines of other components, behind the same bound: no pair that shares a
+band goes untested unless it lies within a component or can't reach the threshold.
 
 At the threshold a pair shares a band with probability 1 - (1 - 0.8 ^ 3) ^ 8 = 0.997 (a little less for lines so short
 that a part is empty); a pair is also found through other members of its component.
@@ -39,6 +40,9 @@ from quarry.llm.components import components
 
 SHINGLE, PERCENT = 7, 80
 ROWS, BANDS, PARTS = 3, 2, 4
+#: Sketch words a part; partners that a line keeps in a turn, and turns at most.
+WORDS, TRIES, TURNS = 4, 2, 6
+_SKETCH = [f"w{k}" for k in range(PARTS * WORDS)]
 _random = random.Random(7)
 #: One mask a minimum; the top bits stay as they are, for they choose the part.
 MASKS = [_random.getrandbits(62) for _ in range(ROWS * BANDS)]
@@ -85,101 +89,135 @@ def signatures(lines: DataFrame) -> DataFrame:
     d = lines.select("lid", _units(F.col("line")).alias("units"))
     d = d.select("lid", "units", F.explode(_places("units")).alias("place"))
     d = d.select("lid", _hash(F.col("units"), F.col("place")).alias("h"))
-    d = d.withColumn("part", F.shiftrightunsigned("h", 62))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 56).cast("int"))  # by the low six bits of the places
-    minima = d.groupBy("lid", "part").agg(F.count("*").alias("n"), F.bit_or(bit).alias("w"), *(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)))
+    # bits from the top: two for the part, two for the sketch word, six for its bit
+    d = d.select("lid", "h", F.shiftrightunsigned("h", 62).cast("int").alias("part"), (F.shiftrightunsigned("h", 60) % WORDS).cast("int").alias("word"))
+    d = d.withColumn("bit", F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 54).cast("int")))
+    none = F.lit(0).cast("long")
+    words = [F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(none)).alias(f"w{k}") for k in range(WORDS)]
+    minima = d.groupBy("lid", "part").agg(F.count("*").alias("n"), *words, *(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)))
     bands = [F.xxhash64("part", F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))).alias(f"b{b}") for b in range(BANDS)]
-    minima = minima.select("lid", "part", "n", "w", *bands)
+    minima = minima.select("lid", "part", "n", *(f"w{k}" for k in range(WORDS)), *bands)
     of = lambda c, k: F.max(F.when(F.col("part") == k, F.col(c)))
-    words = [F.coalesce(of("w", k), F.lit(0).cast("long")).alias(f"w{k}") for k in range(PARTS)]
+    words = [F.coalesce(of(f"w{k % WORDS}", k // WORDS), none).alias(w) for k, w in enumerate(_SKETCH)]
     return minima.groupBy("lid").agg(F.sum("n").cast("int").alias("n"), *words, *(of(f"b{b}", k).alias(f"b{BANDS * k + b}") for k in range(PARTS) for b in range(BANDS)))
 
 
 def banded(signed: DataFrame) -> DataFrame:
-    """(lid, first, last, band) of lines that share a band with a smaller one or, where `band` isn't null, of every line of a
-    band that has pairs besides those with the first and the previous line."""
+    """(band, lid) of lines that share a band with another."""
     rows = signed.select("lid", F.explode(F.array(*(f"b{k}" for k in range(PARTS * BANDS)))).alias("band")).filter("band is not null")
     w = W.partitionBy("band").orderBy("lid")
-    # offsets and running frames only; a band has four lines if a line's number and its followers come to four
-    after = sum(F.lead("lid", k).over(w).isNotNull().cast("int") for k in (1, 2, 3))
-    rows = rows.select("lid", "band", F.first("lid").over(w).alias("first"), F.lag("lid").over(w).alias("last"), (F.row_number().over(w) + after).alias("least"))
-    return rows.filter("last is not null or least > 3").select("lid", "first", "last", F.when(F.col("least") > 3, F.col("band")).alias("band"))
+    shared = F.lag("lid").over(w).isNotNull() | F.lead("lid").over(w).isNotNull()
+    return rows.withColumn("shared", shared).filter("shared").drop("shared")
 
 
-def _side(df: DataFrame, side: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(f"{c}_{side}") for c in df.columns))
-
-
-def _possible() -> Column:
-    """Whether sketches and counts of sides x and y leave room for the threshold.
+def _open(table: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The rows with their components, in the bands that hold several."""
+    if groups is None:
+        return table.withColumn("component", F.col("lid"))
+    marked = table.join(groups, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
+    several = marked.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
+    return marked.join(several, "band", "left_semi")
 
-    Sets of sizes s and t that reach it differ in (100 - PERCENT) (s + t) / (100 + PERCENT) shingles at most.
-    """
-    differ = sum(F.bit_count(F.col(f"w{k}_x").bitwiseXOR(F.col(f"w{k}_y"))) for k in range(PARTS))
-    return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n_x") + F.col("n_y"))
 
+def _differ(x, y) -> Column:
+    """Number of sketch bits that one line has and the other hasn't."""
+    return sum(F.bit_count(x(w).bitwiseXOR(y(w))) for w in _SKETCH)
 
-def candidates(bands: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of lines with the first and the previous line of their bands, as far as the bound allows."""
-    pairs = bands.filter("last is not null").select("lid", F.explode(F.array("first", "last")).alias("other")).filter("lid <> other")
-    pairs = pairs.select(F.greatest("lid", "other").alias("a"), F.least("lid", "other").alias("b")).distinct()
-    both = pairs.join(_side(sketches, "x"), F.col("a") == F.col("lid_x")).join(_side(sketches, "y"), F.col("b") == F.col("lid_y"))
-    return both.filter(_possible()).select("a", "b")
 
+def _possible(x, y) -> Column:
+    """Whether sketches and counts leave room for the threshold.
 
-def remaining(bands: DataFrame, sketches: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of different components besides `pairs`, among the lines of bands with several, as far as the
-    bound allows."""
-    marked = bands.filter("band is not null").select("band", "lid").join(groups, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
-    several = marked.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    open_ = store(marked.join(several, "band", "left_semi").join(sketches, "lid"), "line-open")
-    both = _side(open_, "x").join(_side(open_, "y"), F.col("band_x") == F.col("band_y"))
-    both = both.filter((F.col("lid_x") > F.col("lid_y")) & (F.col("component_x") != F.col("component_y")) & _possible())
-    found = store(both.select(F.col("lid_x").alias("a"), F.col("lid_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    Sets of sizes s and t that reach it differ in (100 - PERCENT) (s + t) / (100 + PERCENT) shingles at most.
+    """
+    return (100 + PERCENT) * _differ(x, y) <= (100 - PERCENT) * (x("n") + y("n"))
+
+
+def _pairs(id: Column, other: Column) -> list[Column]:
+    return [F.greatest(id, other).alias("a"), F.least(id, other).alias("b")]
+
+
+def candidates(marked: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
+    """Distinct pairs (a, b) of each line with its likeliest partners among its bands' first and previous lines."""
+    mine = F.struct("lid", "n", "component", *_SKETCH)
+    w = W.partitionBy("band").orderBy(F.xxhash64("lid", F.lit(turn)), "lid")
+    both = marked.select("lid", "n", "component", *_SKETCH, F.lag(mine).over(w).alias("last"), F.first(mine).over(w).alias("first"))
+    tries = []
+    for side in ("last", "first"):
+        other = lambda c, side=side: F.col(side).getField(c)
+        able = both.filter((other("component") != F.col("component")) & _possible(F.col, other))
+        tries.append(able.select("lid", other("lid").alias("other"), _differ(F.col, other).alias("differ")))
+    best = tries[0].union(tries[1]).distinct().withColumn("nth", F.row_number().over(W.partitionBy("lid").orderBy("differ", "other")))
+    pairs = best.filter(F.col("nth") <= TRIES).select(*_pairs(F.col("lid"), F.col("other"))).distinct()
+    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+
+
+def remaining(marked: DataFrame, tried: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different components besides those tried, as far as the bound allows. A pair that also shares one
+    of the one or two open bands before is left to those."""
+    before = W.partitionBy("lid").orderBy("band")
+    open_ = store(marked.withColumns({f"p{k}": F.lag("band", k).over(before) for k in (1, 2)}), "line-open")
+    x, y = (open_.select(*(F.col(c).alias(f"{c}_{side}") for c in open_.columns)) for side in "xy")
+    of = [lambda c, side=side: F.col(f"{c}_{side}") for side in "xy"]
+    met = F.coalesce((F.col("p1_x") == F.col("p1_y")) | (F.col("p1_x") == F.col("p2_y")) | (F.col("p2_x") == F.col("p1_y")) | (F.col("p2_x") == F.col("p2_y")), F.lit(False))
+    both = x.join(y, F.col("band_x") == F.col("band_y")).filter((F.col("component_x") < F.col("component_y")) & _possible(*of) & ~met)
+    found = store(both.select(*_pairs(F.col("lid_x"), F.col("lid_y"))).distinct().join(tried, ["a", "b"], "left_anti"), "line-pairs")
     discard(open_)
     return found
 
 
 def linked(pairs: DataFrame, places: DataFrame) -> DataFrame:
-    """The pairs whose exact similarity reaches the threshold."""
+    """The pairs whose exact similarity reaches the threshold; each line's set is worked out once."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    lines = store(distinct_lines(places.select("lid", "line").join(needed, "lid", "left_semi")).select("lid", _units(F.col("line")).alias("units")), "lines")
+    lines = distinct_lines(places.select("lid", "line").join(needed, "lid", "left_semi")).select("lid", _units(F.col("line")).alias("units"))
+    sets = store(lines.select("lid", shingles("units").alias("s")), "line-sets")
     release(pairs.sparkSession)
-    a, b = (lines.select(F.col("lid").alias(c), F.col("units").alias(f"units_{c}")) for c in "ab")
-    # explode of one row: the sets are worked out once, not in each of the conditions
-    sets = F.explode(F.array(F.struct(shingles("units_a").alias("x"), shingles("units_b").alias("y"))))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", sets.alias("s")).select("a", "b", "s.x", "s.y")
-    n, m = F.size("x"), F.size("y")
-    found = store(both.filter((100 + PERCENT) * F.size(F.array_intersect("x", "y")) >= PERCENT * (n + m)).select("a", "b"), "line-links")
-    discard(lines)
+    a, b = (sets.select(F.col("lid").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    n = F.size("sa") + F.size("sb")
+    both = pairs.join(a, "a").join(b, "b")
+    found = store(both.filter((100 + PERCENT) * F.size(F.array_intersect("sa", "sb")) >= PERCENT * n).select("a", "b"), "line-links")
+    discard(sets)
     release(pairs.sparkSession)
     return found
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(id, th, gone): numbers of the lines to remove from each document that has any."""
-    spark = docs.sparkSession
-    places = store(occurrences(docs), "line-places")
-    signed = store(signatures(distinct_lines(places.select("lid", "line"))), "line-signatures")
-    release(spark)
+def groups_of(signed: DataFrame, places: DataFrame) -> DataFrame:
+    """(lid, component) of the lines that are linked with another."""
+    spark = signed.sparkSession
     bands = store(banded(signed), "line-bands")
     release(spark)
-    used = bands.select(F.explode(F.array("lid", "first")).alias("lid")).distinct()
-    sketches = store(signed.select("lid", "n", *(f"w{k}" for k in range(PARTS))).join(used, "lid", "left_semi"), "line-sketches")
+    table = store(bands.join(signed.select("lid", "n", *_SKETCH), "lid"), "line-sketches")
+    discard(bands)
     discard(signed)
     release(spark)
-    pairs = store(candidates(bands, sketches), "line-pairs")
-    release(spark)
-    edges = linked(pairs, places)
-    groups = components(edges).select(F.col("node").alias("lid"), "component")
-    rest = remaining(bands, sketches, groups, pairs)
+    found = groups = tried = None
+    held, known = [], 0
+    for turn in range(TURNS):
+        pairs = store(candidates(_open(table, groups), tried, turn), "line-pairs")
+        held.append(pairs)
+        release(spark)
+        tried, new = pairs if tried is None else tried.union(pairs), linked(pairs, places)
+        found, count = new if found is None else found.union(new), new.count()
+        known += count
+        if count or groups is None:
+            groups = components(found).select(F.col("node").alias("lid"), "component")
+        if 50 * count < known or not count:  # what links remain are too few to be met this way
+            break
+    rest = remaining(_open(table, groups), tried)
+    for gone in (table, *held):
+        discard(gone)
     release(spark)
-    for table in (bands, sketches, pairs):
-        discard(table)
     if not rest.isEmpty():
-        edges = edges.union(linked(rest, places))
-        groups = components(edges).select(F.col("node").alias("lid"), "component")
-    discard(rest)
+        groups = components(found.union(linked(rest, places))).select(F.col("node").alias("lid"), "component")
+    return groups
+
+
+def removals(docs: DataFrame) -> DataFrame:
+    """(id, th, gone): numbers of the lines to remove from each document that has any."""
+    spark = docs.sparkSession
+    places = store(occurrences(docs), "line-places")
+    signed = store(signatures(distinct_lines(places.select("lid", "line"))), "line-signatures")
+    release(spark)
+    groups = groups_of(signed, places)
     o = places.select("id", "th", "no", "lid").join(groups, "lid", "left").select("id", "th", "no", F.coalesce("component", "lid").alias("component"))
     first = store(o.groupBy("component").agg(F.min(F.struct("id", "th", "no")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first"), "line-firsts")
     gone = o.join(first, "component").filter(F.struct("id", "th", "no") != F.col("first"))
