@@ -65,9 +65,9 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = private.find(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    found = private.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [f"n_{k}" for k in private.KINDS]
-    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_discovered")
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_discovered", "secrets", "n_found")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
