@@ -210,7 +210,7 @@ def test_suffix_array(clean, docs):
     assert suffix_array.dedup(docs).count() == len(ROWS)
 
 
-def test_automaton_and_sorting_agree_with_brute_force(clean, docs, monkeypatch):
+def test_substring_dedup(clean, docs):
     seen = Counter(tuple(w[k : k + 35]) for t in TEXTS for w in [words(t)] for k in range(len(w) - 34))
     want = {}
     for i, t in enumerate(TEXTS):
@@ -221,23 +221,34 @@ def test_automaton_and_sorting_agree_with_brute_force(clean, docs, monkeypatch):
         want[i] = (len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone)))
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in automata.dedup(clean).collect()} == want
     assert automata.dedup(docs).count() == len(ROWS)
-    items = [np.random.default_rng(k % 3).integers(0, 4, 60).astype(np.uint64) for k in range(6)]
-    size = np.full(6, 60)
-    args = (automata.SPEC, list(range(6)), np.arange(6), np.zeros(6, int), size, np.zeros(6, bool), np.cumsum(size) - size, np.concatenate(items))
-    cover = lambda spans: {(d, k) for d, a, b in spans for k in range(a, b)}
-    assert cover(automata._by_automaton(*args)) == cover(automata._by_sorting(*args)) == {(d, k) for d in range(6) for k in range(60)}
 
 
-def test_substring_dedup_takes_any_ids(clean, spark, monkeypatch):
+def test_automata_of_any_shards_agree_with_brute_force():
+    window = automata.WINDOW
+    for seed in range(6):
+        r = np.random.default_rng(seed)
+        passages = [r.integers(0, 2**60, 50) for _ in range(4)]
+        rows = []
+        for _ in range(12):
+            parts = [r.integers(0, 2**60, r.integers(0, 12)), *(passages[k][r.integers(0, 9) : r.integers(40, 51)] for k in r.integers(0, 4, r.integers(1, 3)))]
+            rows.append(np.concatenate([*parts, r.integers(0, 2**60, 5)]).astype(np.uint64))
+        rows.append(np.tile(r.integers(0, 2**60, 3), 40).astype(np.uint64))  # windows that overlap themselves
+        size = np.array([len(x) for x in rows])
+        seen = Counter(x[k : k + window].tobytes() for x in rows for k in range(len(x) - window + 1))
+        want = {(d, k + j) for d, x in enumerate(rows) for k in range(len(x) - window + 1) if seen[x[k : k + window].tobytes()] > 1 for j in range(window)}
+        for shard in (1, 3, 2000):
+            doc, start, end = automata.refine(automata.SPEC, np.ones(len(rows), np.uint64), np.arange(len(rows)), np.zeros(len(rows), int), size, np.zeros(len(rows), bool), np.zeros(len(rows), int), np.concatenate(rows), shard)
+            assert {(d, k) for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist()) for k in range(a, b)} == want
+
+
+def test_substring_dedup_takes_any_ids(clean, spark):
     items = np.random.default_rng(1).integers(0, 2**60, 60).astype(np.uint64)
     other = np.random.default_rng(2).integers(0, 2**60, (2, 20)).astype(np.uint64)
     rows = [np.concatenate([items[:40], other[0]]), np.concatenate([items[:40], other[1]])]
     for ids in ([0, 1], [2**33, 2**34], [2**62, 2**63 - 1], [-5, -(2**63)], [-1, 2**31]):
-        for shard in (2000, 0):
-            monkeypatch.setattr(automata, "SHARD", shard)
-            doc, start, end = automata.refine(automata.SPEC, np.ones(2, np.uint64), np.array(ids), np.zeros(2, int), np.full(2, 60), np.zeros(2, bool), np.zeros(2, int), np.concatenate(rows))
+        for shard in (2000, 1):
+            doc, start, end = automata.refine(automata.SPEC, np.ones(2, np.uint64), np.array(ids), np.zeros(2, int), np.full(2, 60), np.zeros(2, bool), np.zeros(2, int), np.concatenate(rows), shard)
             assert {(d, k) for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist()) for k in range(a, b)} == {(d, k) for d in ids for k in range(40)}
-    monkeypatch.undo()
     shown = lambda df: sorted((r.n_words, r.n_removed, r.kept_sha256) for r in automata.dedup(df).collect())
     want = shown(clean)
     assert shown(clean.withColumn("doc_id", F.col("doc_id") * 2**34 - 2**36)) == want
