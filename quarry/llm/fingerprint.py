@@ -8,7 +8,9 @@ length's, bounded; likeness is 1 minus the difference over its bound.
 Null text is empty; an empty text has all counters equal and length code 0; equal texts have equal fingerprints.
 `neighbours` pairs each row with the next in ascending doc_id (null first, ties by text; after the last, the first)
 without a global window: rows go to range buckets at approximate quantiles of doc_id, and the first row of each bucket
-is sent to the bucket before it as well. A table of one row is its own next. An empty table gives an empty table.
+is sent to the bucket before it as well. A table of one row is its own next. Very long texts are hashed in parts of PART bytes;
+repeated rows and ids stand beside one another in the order of their texts; other columns aren't read, whatever their names.
+An empty table gives an empty table.
 """
 
 from __future__ import annotations

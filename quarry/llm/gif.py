@@ -8,7 +8,9 @@ segment are cut out at once; an entry's string is a stretch of earlier output, s
 earlier one and pointer doubling resolves all of them in a logarithmic number of rounds.
 
 Null text counts as empty (one unit of padding); equal texts give equal files; repeated rows give repeated rows; an
-empty table gives an empty table; a damaged file raises ValueError in `decode` and gives no frame in `frames`.
+empty table gives an empty table; other columns aren't read by `digest`, and a column named like the output of `to_gif` is
+replaced. A very long text makes frames of bounded size, coded and decoded in one task, which holds some 20 bytes a byte. A
+damaged file raises ValueError in `decode`; in `frames` it is a row of its key with nulls, so that none is lost silently.
 """
 
 from __future__ import annotations
@@ -334,14 +336,14 @@ def frames(df: DataFrame, gif: str = "gif", key: str = "doc_id") -> DataFrame:
                 try:
                     _, _, found = decode(data or b"")
                 except ValueError:
-                    continue
+                    found = []
                 rows, start = [], 0
                 for i, f in enumerate(found):
                     rows.append((k, i, start, f.delay_cs, f.left, f.top, f.width, f.height, f.indices.tobytes(), histogram(f.canvas).tolist()))
                     start += f.delay_cs
-                if rows:
-                    kinds = [batch.schema.field(0).type, *[pa.int32()] * 7, pa.binary(), pa.list_(pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                rows = rows or [(k, *[None] * 9)]
+                kinds = [batch.schema.field(0).type, *[pa.int32()] * 7, pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     return df.select(key, gif).mapInArrow(work, schema)
 

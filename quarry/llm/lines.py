@@ -165,11 +165,10 @@ def remaining(marked: DataFrame, tried: DataFrame) -> DataFrame:
     return found
 
 
-def linked(pairs: DataFrame, places: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs whose exact similarity reaches the threshold; each line's set is worked out once."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    lines = distinct_lines(places.select("lid", "line").join(needed, "lid", "left_semi")).select("lid", _units(F.col("line")).alias("units"))
-    sets = store(lines.select("lid", shingles("units").alias("s")), "line-sets")
+    sets = store(lines.join(needed, "lid", "left_semi").select("lid", _units(F.col("line")).alias("units")).select("lid", shingles("units").alias("s")), "line-sets")
     release(pairs.sparkSession)
     a, b = (sets.select(F.col("lid").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     n = F.size("sa") + F.size("sb")
@@ -180,22 +179,16 @@ def linked(pairs: DataFrame, places: DataFrame) -> DataFrame:
     return found
 
 
-def groups_of(signed: DataFrame, places: DataFrame) -> DataFrame:
-    """(lid, component) of the lines that are linked with another."""
-    spark = signed.sparkSession
-    bands = store(banded(signed), "line-bands")
-    release(spark)
-    table = store(bands.join(signed.select("lid", "n", *_SKETCH), "lid"), "line-sketches")
-    discard(bands)
-    discard(signed)
-    release(spark)
+def groups_of(table: DataFrame, lines: DataFrame) -> DataFrame:
+    """(lid, component) of the lines that are linked with another. table: (band, lid, n, sketch); lines: (lid, line)."""
+    spark = table.sparkSession
     found = groups = tried = None
     held, known = [], 0
     for turn in range(TURNS):
         pairs = store(candidates(_open(table, groups), tried, turn), "line-pairs")
         held.append(pairs)
         release(spark)
-        tried, new = pairs if tried is None else tried.union(pairs), linked(pairs, places)
+        tried, new = pairs if tried is None else tried.union(pairs), linked(pairs, lines)
         found, count = new if found is None else found.union(new), new.count()
         known += count
         if count or groups is None:
@@ -203,22 +196,35 @@ def groups_of(signed: DataFrame, places: DataFrame) -> DataFrame:
         if 50 * count < known or not count:  # what links remain are too few to be met this way
             break
     rest = remaining(_open(table, groups), tried)
-    for gone in (table, *held):
-        discard(gone)
     release(spark)
     if not rest.isEmpty():
-        groups = components(found.union(linked(rest, places))).select(F.col("node").alias("lid"), "component")
+        groups = components(found.union(linked(rest, lines))).select(F.col("node").alias("lid"), "component")
+    for gone in (rest, *held):
+        discard(gone)
     return groups
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(id, th, gone): numbers of the lines to remove from each document that has any."""
     spark = docs.sparkSession
-    places = store(occurrences(docs), "line-places")
-    signed = store(signatures(distinct_lines(places.select("lid", "line"))), "line-signatures")
+    texts = store(occurrences(docs), "line-texts")
+    signed = store(signatures(distinct_lines(texts.select("lid", "line"))), "line-signatures")
+    release(spark)
+    bands = store(banded(signed), "line-bands")
+    release(spark)
+    table = store(bands.join(signed.select("lid", "n", *_SKETCH), "lid"), "line-sketches")
+    discard(bands)
+    discard(signed)
+    release(spark)
+    # of the texts only those of lines that share a band are needed from here on
+    lines = store(distinct_lines(texts.select("lid", "line").join(table.select("lid").distinct(), "lid", "left_semi")), "lines")
+    places = store(texts.drop("line"), "line-places")
+    discard(texts)
     release(spark)
-    groups = groups_of(signed, places)
-    o = places.select("id", "th", "no", "lid").join(groups, "lid", "left").select("id", "th", "no", F.coalesce("component", "lid").alias("component"))
+    groups = groups_of(table, lines)
+    discard(table)
+    discard(lines)
+    o = places.join(groups, "lid", "left").select("id", "th", "no", F.coalesce("component", "lid").alias("component"))
     first = store(o.groupBy("component").agg(F.min(F.struct("id", "th", "no")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first"), "line-firsts")
     gone = o.join(first, "component").filter(F.struct("id", "th", "no") != F.col("first"))
     gone = store(gone.groupBy("id", "th").agg(F.collect_list("no").alias("gone")), "line-removals")

@@ -12,7 +12,8 @@ counted per block. A source with a third of all rows is thus spread over as many
 
 Null source is a source of its own and the last; null text has size 0; a source whose documents are all empty has
 rate 0 and takes nothing; repeated rows are documents of their own (their order among themselves doesn't show in the
-result); an empty table gives an empty table. Columns named like the outputs are replaced.
+result); a very long text is counted like any other, where it is read; an empty table gives an empty table. Columns named
+like the outputs are replaced, other columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD
+from quarry.llm.common import WORD, store
 
 #: Hash buckets of one size bin. A block holds about 1 / (bins in use x BUCKETS) of its source.
 BUCKETS = 64
@@ -74,38 +75,39 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", keep_text: bool = False) -> DataFrame:
     """Each document with size, source_size, target, copies (times it is emitted) and taken (words so taken).
 
-    `keep_text` keeps all input columns (for emission); otherwise only doc_id and source go through the shuffle.
+    `keep_text` keeps all input columns (for emission); otherwise only doc_id and source go through the shuffle, from a table
+    of sizes, so that texts are read once.
     """
     made = ["size", "source_size", "target", "copies", "taken"]
-    kept = [c for c in docs.columns if c not in made] if keep_text else ["doc_id", "source"]
-    d = docs.select(*kept, word_count(F.col("text")).alias("size"))
+    kept = [c for c in docs.columns if c.lower() not in made] if keep_text else ["doc_id", "source"]
+    d = docs.select(F.struct(*kept).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))  # no name of the input is in reach
+    if not keep_text:
+        d = store(d, "mix-sizes")
     h = hash32(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    d = d.withColumn("_h", h).withColumn("_bin", size_bin(F.col("size"))).withColumn("_bucket", F.col("_h") % BUCKETS)
-    blocks = d.groupBy("source", "_bin", "_bucket").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
+    d = d.withColumn("h", h).withColumn("bin", size_bin(F.col("size"))).withColumn("bucket", F.col("h") % BUCKETS)
+    blocks = d.groupBy("source", "bin", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     per_source = W.partitionBy("source")
     blocks = blocks.withColumn(
-        "_before",
-        F.coalesce(F.sum("_n").over(per_source.orderBy("_bin", "_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+        "before",
+        F.coalesce(F.sum("n").over(per_source.orderBy("bin", "bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
     )
-    rates = targets(blocks.groupBy("source").agg(F.sum("_words").alias("source_size")), tuple(weights), share, cap)
+    rates = targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), tuple(weights), share, cap)
     offset = hash32(F.concat_ws(":", F.lit(seed), F.lit("offset"), F.coalesce(F.col("source"), F.lit("")))) / F.lit(2.0**32)
-    rates = rates.withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    rates = rates.withColumn("_offset", offset)
-    r = rates.select(F.col("source").alias("_s"), "source_size", "target", "_rate", "_offset")
-    b = blocks.join(r, F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_n", "_words")
-    b = b.select(F.col("source").alias("_s"), F.col("_bin").alias("_b"), F.col("_bucket").alias("_u"), "_before", "source_size", "target", "_rate", "_offset")
-    place = W.partitionBy("source", "_bin", "_bucket").orderBy("size", "_h", F.col("doc_id").asc_nulls_first())
-    d = d.withColumn("_place", F.row_number().over(place))
-    d = d.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_b")) & (F.col("_bucket") == F.col("_u")))
-    rank = (F.col("_before") + F.col("_place")).cast("double")
-    copies = F.floor(F.col("_rate") * rank + F.col("_offset")) - F.floor(F.col("_rate") * (rank - 1) + F.col("_offset"))
+    rates = rates.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    r = rates.select(F.col("source").alias("s"), "source_size", "target", "rate", offset.alias("offset"))
+    b = blocks.join(r, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("bin").alias("b"), F.col("bucket").alias("u"), "before", "source_size", "target", "rate", "offset")
+    place = W.partitionBy("source", "bin", "bucket").orderBy("size", "h", F.col("doc_id").asc_nulls_first())
+    d = d.withColumn("place", F.row_number().over(place))
+    d = d.join(b, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")) & (F.col("bucket") == F.col("u")))
+    rank = (F.col("before") + F.col("place")).cast("double")
+    copies = F.floor(F.col("rate") * rank + F.col("offset")) - F.floor(F.col("rate") * (rank - 1) + F.col("offset"))
     d = d.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return d.select(*kept, *made)
+    return d.select(*(F.col("row").getField(c).alias(c) for c in kept), *made)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """One row per copy."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy")
+    return mixed.filter("copies > 0").select(*mixed.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("\x00copy")).drop("\x00copy")
 
 
 #: The same rows in DuckDB's SQL, over the view documents.
