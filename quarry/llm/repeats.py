@@ -198,9 +198,11 @@ def find(docs: DataFrame, spec: Spec, buckets: int, refine: Callable) -> DataFra
         number, gram = np.cumsum(new_class) - 1, np.cumsum(new_gram) - 1
         size, lead = np.bincount(number), np.flatnonzero(new_class)
         mixed = np.bincount(gram[lead])[gram] > 1  # the gram has several contexts
+        copies = np.zeros(len(doc), bool)
         if spec.earlier:
             settled = doc > doc[lead][number]
-            ask = ~settled & mixed
+            ask = new_class & mixed
+            copies = ~settled & mixed & ~new_class  # same document, same context: what holds for the first holds for them
             known = np.zeros(len(doc), np.int8)
         else:
             settled = size[number] > 1
@@ -208,6 +210,7 @@ def find(docs: DataFrame, spec: Spec, buckets: int, refine: Callable) -> DataFra
             known = settled.astype(np.int8)
         out = list(_deal("i", np.mod(doc[settled], buckets).astype(np.int32), doc[settled], place[settled] - spec.reach, place[settled] + spec.gram + spec.reach))
         out += _deal("q", np.mod(doc[ask], buckets).astype(np.int32), doc[ask], place[ask], _six(h[ask]), known[ask], np.full(int(ask.sum()), key[0].as_py(), np.int32))
+        out += _deal("m", np.mod(doc[copies], buckets).astype(np.int32), doc[copies], place[copies], place[lead][number][copies])
         return _table(out)
 
     def fetch(key, rows):
@@ -258,20 +261,33 @@ def find(docs: DataFrame, spec: Spec, buckets: int, refine: Callable) -> DataFra
     refined = store(contexts.groupBy("bucket").applyInArrow(compare, _BLOB), "refined")
     del contexts
     release(spark)
-    return texts.unionByName(decided.filter("kind = 'i'")).unionByName(refined)
+    return texts.unionByName(decided.filter("kind in ('i', 'm')")).unionByName(refined)
 
 
 def _table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([_batch(rows)])
 
 
-def covered(spec: Spec, n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Which of n symbols the intervals cover; what is cut at the text's ends still has to hold a window."""
-    start, end = np.maximum(start, 0), np.minimum(end, n)
-    ok = end - start >= spec.window
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, start[ok], 1)
-    np.add.at(edge, end[ok], -1)
+def covered(spec: Spec, n: int, start: np.ndarray, end: np.ndarray, copies: np.ndarray, leads: np.ndarray) -> np.ndarray:
+    """Which of n symbols are covered by repeated windows: those of the intervals, and around the anchors `copies` those that are
+    repeated around their `leads`. What is cut at the text's ends still has to hold a window."""
+    if n < spec.window:
+        return np.zeros(n, bool)
+    first, last = np.maximum(start, 0), np.minimum(end, n) - spec.window
+    ok = last >= first
+    edge = np.zeros(n + 2, np.int32)
+    np.add.at(edge, first[ok], 1)
+    np.add.at(edge, last[ok] + 1, -1)
+    windows = np.cumsum(edge[: n - spec.window + 1]) > 0
+    around = np.arange(-spec.reach, 1)
+    for k in range(0, len(copies), 1 << 16):
+        to, source = (x[k : k + (1 << 16), None] + around for x in (copies, leads))
+        inside = (to >= 0) & (to < len(windows)) & (source >= 0) & (source < len(windows))
+        windows[to[inside][windows[source[inside]]]] = True
+    at = np.flatnonzero(windows)
+    edge[:] = 0
+    edge[at] += 1
+    edge[at + spec.window] -= 1
     return np.cumsum(edge[:n]) > 0
 
 
@@ -280,10 +296,14 @@ def finish(found: DataFrame, spec: Spec, result: Callable, schema: str) -> DataF
 
     def work(key, rows):
         kinds = rows.column("kind").to_pylist()
-        blobs = rows.filter(pa.array([k == "i" for k in kinds])).select(list("abc")).to_pylist()
-        doc, start, end = (np.concatenate([np.frombuffer(r[c], t) for r in blobs] or [np.zeros(0, t)]) for c, t in zip("abc", (np.int64, np.int32, np.int32)))
-        order = np.argsort(doc, kind="stable")
-        doc, start, end = doc[order], start[order].astype(np.int64), end[order].astype(np.int64)
+
+        def blobs(kind):
+            found = rows.filter(pa.array([k == kind for k in kinds])).select(list("abc")).to_pylist()
+            x, y, z = (np.concatenate([np.frombuffer(r[c], t) for r in found] or [np.zeros(0, t)]) for c, t in zip("abc", (np.int64, np.int32, np.int32)))
+            order = np.argsort(x, kind="stable")
+            return x[order], y[order].astype(np.int64), z[order].astype(np.int64)
+
+        (doc, start, end), (of, copies, leads) = blobs("i"), blobs("m")
         texts = rows.filter(pa.array([k == "t" for k in kinds])).combine_chunks()
         out = []
         for batch in slices(iter(texts.to_batches()), "text", PART):
@@ -292,7 +312,8 @@ def finish(found: DataFrame, spec: Spec, result: Callable, schema: str) -> DataF
             _, first, spans = symbols(spec, at, data)
             for i, d in enumerate(ids.to_pylist()):
                 a, b = np.searchsorted(doc, [d, d + 1])
-                gone = covered(spec, int(first[i + 1] - first[i]), start[a:b], end[a:b])
+                p, q = np.searchsorted(of, [d, d + 1])
+                gone = covered(spec, int(first[i + 1] - first[i]), start[a:b], end[a:b], copies[p:q], leads[p:q])
                 if spans is None:
                     out.append(result(d, data[at[i] : at[i + 1]], gone, None))
                 else:

@@ -8,8 +8,13 @@ range sort is by GRAM bytes and holds sampled positions only, chosen so that eve
 a place that its bytes alone decide (see `repeats`), for sorting every position of a corpus at every step would write
 several times the corpus to disk at each.
 
+`doubled` is the plain form on all positions, with a Spark sort by key at each offset. Its results are the same (tests hold
+them against each other), but it moves some hundred bytes for each byte of text (README), so it is for small tables.
+
 Null and empty texts have nothing to remove; a text shorter than WINDOW bytes loses nothing; rows that share a doc_id,
-or lack one, are documents in the order of (doc_id, null first, then text). An empty table gives an empty table.
+or lack one, are documents in the order of (doc_id, null first, then text). A very long text is hashed in one task; in a run
+of one byte, whose positions all tie, the contexts that are equal are compared once. Other columns aren't read. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,9 +22,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarry.llm import repeats
+from quarry.llm.common import store
 from quarry.llm.words import PLACE, mix
 
 WINDOW, GRAM = 50, 24
@@ -82,6 +90,38 @@ def refine(spec, h, doc, start, size, known, lead, raw):
     return doc[w], start[w] + place[a], start[w] + place[b] + spec.window
 
 
+def doubled(docs: DataFrame, length: int = WINDOW) -> DataFrame:
+    """(doc_id, place) of every place whose `length` bytes also start at another place: prefix doubling of all positions.
+
+    Ranks are names of byte strings, first of 8 bytes. At each offset positions meet the rank at their place plus the offset,
+    the pairs are sorted by Spark and named anew, and those whose pair is unique are dropped. A position whose partner was
+    dropped goes with it.
+    """
+    names = ["doc_id", "place", "rank"]
+
+    def start(batches):
+        for batch in batches:
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+                n = max(0, len(data) - 7)
+                rank = np.zeros(n, np.uint64)
+                for k in range(8):
+                    rank |= data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(rank.view(np.int64))], names=names)
+
+    def survivors(df: DataFrame) -> DataFrame:
+        twice = df.groupBy("rank").count().filter("count > 1").select("rank")
+        return store(df.join(twice, "rank", "left_semi").select(*names), "ranks")
+
+    ranked, known = survivors(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(start, "doc_id long, place int, rank long")), 8
+    while known < length:
+        offset = min(known, length - known)
+        after = ranked.select("doc_id", (F.col("place") - offset).alias("place"), F.col("rank").alias("next"))
+        pairs = ranked.join(after, ["doc_id", "place"]).select("doc_id", "place", F.xxhash64("rank", "next").alias("rank"))
+        ranked, known = survivors(pairs), known + offset
+    return ranked.select("doc_id", "place")
+
+
 def _result(doc, data, gone, _):
     runs = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
     kept = data[~gone].tobytes()

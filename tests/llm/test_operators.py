@@ -210,6 +210,32 @@ def test_suffix_array(clean, docs):
     assert suffix_array.dedup(docs).count() == len(ROWS)
 
 
+def test_suffix_array_equals_doubling_of_all_positions(clean):
+    first = {}
+    for i, t in enumerate(TEXTS):
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], []).append((i, k))
+    want = sorted(x for at in first.values() if len(at) > 1 for x in at)
+    assert sorted(map(tuple, suffix_array.doubled(clean.select("doc_id", "text")).collect())) == want
+
+
+def test_suffix_array_of_runs_and_periods(spark):
+    """Positions that tie by the thousand, in one document, in later ones, at texts' ends."""
+    texts = ["z" * 30_000, "a" + "z" * 70 + "b", "z" * 49, "xyz" * 5000, "q" + "xyz" * 30, "z" * 26_000 + "!" + "z" * 60 + "?" + "z" * 51, "ab" * 26 + "c" + "ab" * 40]
+    first = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    got = {r.doc_id: r for r in suffix_array.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep=True).collect()}
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for k in range(len(t) - 49):
+            if first[t[k : k + 50]] < i:
+                gone[k : k + 50] = b"\x01" * 50
+        assert bytes(got[i].kept).decode() == "".join(c for c, g in zip(t, gone) if not g)
+
+
 def test_substring_dedup(clean, docs):
     seen = Counter(tuple(w[k : k + 35]) for t in TEXTS for w in [words(t)] for k in range(len(w) - 34))
     want = {}
