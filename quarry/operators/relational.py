@@ -47,8 +47,10 @@ def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end:
     scale = F.pow(F.lit(2.0), F.col("_level")) * F.lit(width)
     bins = F.sequence(F.floor(F.col(start) / scale), F.floor(F.col(end) / scale))
     s = s.withColumn("_bin", F.explode(bins))
-    used = F.broadcast(s.select("_level").distinct())  # `levels` + 1 rows at most
-    p = points.crossJoin(used).withColumn("_bin", F.floor(F.col(at) / (F.pow(F.lit(2.0), F.col("_level")) * F.lit(width))))
+    used = sorted(r[0] for r in s.select("_level").distinct().collect())  # `levels` + 1 numbers at most
+    if not used:
+        used = [0]
+    p = points.withColumn("_level", F.explode(F.array(*map(F.lit, used)))).withColumn("_bin", F.floor(F.col(at) / (F.pow(F.lit(2.0), F.col("_level")) * F.lit(width))))
     return p.join(s, ["_level", "_bin"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bin", "_level")
 
 

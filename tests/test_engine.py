@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry import functions as X
-from quarry import sources, streaming
+from quarry import log, sources, streaming
 from quarry.functions.dialect import spelled
 from quarry.functions.registry import Functions
 from quarry.operators.mutate import Table
@@ -326,3 +326,18 @@ def test_first_seen(spark, tmp_path):
     spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:05:00"), (2, "2024-01-01 00:01:00")], "k int, t string").select("k", F.to_timestamp("t").alias("ts")).repartition(2).write.parquet(f"{tmp_path}/seen")
     stream = streaming.read_files(spark, f"{tmp_path}/seen", "k int, ts timestamp")
     assert sorted(r.k for r in streaming.run_to_end(streaming.first_seen(stream, ["k"], "ts"), "seen", "append").collect()) == [1, 2]
+
+
+def test_events_are_lines_of_json(spark, tmp_path):
+    import io
+    import json
+
+    out = io.StringIO()
+    log.setup("INFO", out)
+    log.setup("INFO", out)
+    s = Session(spark, f"file://{tmp_path}/w")
+    s.sql("select 1")
+    with pytest.raises(QuarryError):
+        s.sql("use nowhere")
+    lines = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [(x["event"], x["kind"], x.get("error")) for x in lines] == [("statement", "query", None), ("statement", "use", "DATABASE_NOT_FOUND")]
