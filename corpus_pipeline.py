@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents (the last: what it made);
 `run` writes each stage's rows as Parquet in the shared folder and reads them again as the next one's docs.
+
+Null and empty texts are never toxic, have no lines, are linked with nothing, have size 0 (so the mix may take them at no cost
+of words) and give no ids. Rows that share a doc_id, or lack one, are told apart wherever a row is kept or dropped; rows that
+repeat both id and text are one document to the line dedup, and one of their near copies to the join, which keeps one row of
+each component. Very long texts go whole through every stage. Further columns pass through all stages but the last,
+whatever their names. Empty tables give empty tables; without labels no document is toxic.
 """
 
 from __future__ import annotations
