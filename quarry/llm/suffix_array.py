@@ -9,7 +9,7 @@ a place that its bytes alone decide (see `repeats`), for sorting every position
 several times the corpus to disk at each.
 
 `doubled` is the plain form on all positions, with a Spark sort by key at each offset. Its results are the same (tests hold
-them against each other), but it moves some hundred bytes for each byte of text (README), so it is for small tables.
+them against each other), but it shuffles 50 bytes for each byte of text (README), so it is for small tables.
 
 Null and empty texts have nothing to remove; a text shorter than WINDOW bytes loses nothing; rows that share a doc_id,
 or lack one, are documents in the order of (doc_id, null first, then text). A very long text is hashed in one task; in a run

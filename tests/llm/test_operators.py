@@ -96,6 +96,25 @@ def test_line_dedup_finds_pairs_in_bands_of_one_template(spark):
     assert got == {i: int(i >= 150) for i in range(300)}
 
 
+def test_line_dedup_recall_among_lines_of_a_long_template(spark):
+    """800 lines that share 300 characters and 200 near copies of some of them: pairs of the template stay below 0.8."""
+    r, k = random.Random(6), lines.SHINGLE
+    template = "".join(r.choice("abcdefghijklmnop ") for _ in range(300))
+    rows = [template + "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(60)) for _ in range(800)]
+    copied = r.sample(range(800), 200)
+    for i in copied:
+        t = list(rows[i])
+        for p in r.sample(range(310, 350), 3):
+            t[p] = "_"
+        rows.append("".join(t))
+    sets = [{t[j : j + k] for j in range(len(t) - k + 1)} for t in rows]
+    like = lambda x, y: len(x & y) / len(x | y)
+    assert all(like(sets[i], sets[800 + n]) >= 0.8 for n, i in enumerate(copied))
+    assert max(like(sets[i], sets[j]) for i in range(0, 800, 7) for j in range(i)) < 0.8
+    got = {x.doc_id: x.n_removed for x in lines.dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert sum(got[i] for i in range(800)) == 0 and sum(got[800 + n] for n in range(200)) >= 198
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (300, 300), (-5, 202), (202, 200)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
