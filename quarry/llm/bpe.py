@@ -7,7 +7,8 @@ pattern always ends one match and begins another, so encoding the parts and join
 while the encoder's working memory stays bounded by the part.
 
 Null text counts as empty and gives no ids; repeated rows give repeated rows; an empty table gives an empty table;
-other columns pass through `encode` and `decode` untouched, and a column named like the output is replaced.
+a very long text without safe boundaries (no space between letters) is encoded in one part; other columns pass through
+`encode` and `decode` untouched whatever their names, and a column named like the output is replaced.
 """
 
 from __future__ import annotations

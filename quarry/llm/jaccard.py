@@ -53,7 +53,7 @@ TRIES, TURNS = 2, 6
 #: Shingles of a set that one row holds, about.
 SET_ROW = 1 << 16
 #: Bytes of text that a kernel works on at once.
-PART = 4 << 20
+PART = 1 << 20
 #: Ids of sets that a task remembers, so as not to send copies it has just sent.
 SEEN = 1 << 18
 _WORDS = [f"w{k}" for k in range(WORDS)]

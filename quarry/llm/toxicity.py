@@ -45,7 +45,7 @@ STEMS = (4, 5, 6, 7, 8)
 LEAST_Z = 3.5
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 _WORD = re.compile(r"\w+")
-_CACHE = 1 << 18
+_CACHE = 1 << 16
 
 
 @dataclass

@@ -32,7 +32,7 @@ def mix(a: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers 0 .. n-1 modulo 2 ** 64, and their inverses."""
     if len(_powers[0]) < n:
-        room = max(n, 2 * len(_powers[0]))
+        room = 1 << (n - 1).bit_length()
         for k, base in enumerate((_BASE, _INVERSE)):
             p = np.full(room, base, np.uint64)
             p[0] = 1
