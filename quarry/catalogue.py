@@ -155,6 +155,7 @@ PAIRS = {
     "table_function": ("select n_nationkey, r.id as k from nation, range(3) r", "select n_nationkey, r.range as k from nation, range(3) r"),
     "table_hint": ("select /*+ broadcast(n) */ s_suppkey, n_name from supplier join nation n on s_nationkey = n_nationkey", "select s_suppkey, n_name from supplier join nation n on s_nationkey = n_nationkey"),
     "table_sample": ("select n_nationkey from nation tablesample (100 percent)", "select n_nationkey from nation"),
+    "star_rename": ("select * except (n_name), n_name as label from nation", "select * rename (n_name as label) from nation"),
     "star_replace": ("select * except (n_name), upper(n_name) as n_name from nation", "select * replace (upper(n_name) as n_name) from nation"),
     "distribute_sort": ("select o_orderkey, o_custkey from orders distribute by o_custkey sort by o_orderkey", "select o_orderkey, o_custkey from orders"),
     "cluster_by": ("select o_orderkey, o_custkey from orders cluster by o_custkey", "select o_orderkey, o_custkey from orders"),
@@ -311,6 +312,11 @@ SCRIPTS: dict[str, tuple[str, str]] = {
         "select n_nationkey, starts_with(n_name, 'A') as s, strpos(n_name, 'A') as p, to_hex(n_nationkey) as h, log(100.0) as l, gcd(n_nationkey, 12) as g, lcm(n_nationkey, 4) as m, trunc(n_nationkey / 7) as t, iszero(n_regionkey) as z, concat(n_name, null, '!') as c, get_field(named_struct('a', n_name), 'a') as f, arrow_cast(n_nationkey, 'Utf8') as u, array_length(make_array(1, n_nationkey)) as q from nation",
         "select n_nationkey, starts_with(n_name, 'A') as s, strpos(n_name, 'A')::int as p, lower(to_hex(n_nationkey)) as h, 2.0 as l, gcd(n_nationkey, 12) as g, lcm(n_nationkey, 4) as m, trunc(n_nationkey / 7) as t, n_regionkey = 0 as z, n_name || '!' as c, n_name as f, n_nationkey::varchar as u, 2 as q from nation",
     ),
+    "dialect_operators": (
+        "select n.n_name ~ '^A' as a, n.n_name !~ 'A$' as b, n_name ~* '^a' as c, n_name similar to 'A%' as d, '{\"k\": 5}' as j, t.most, version() is not null as v from nation n cross apply (select max(o_totalprice) as most from orders where o_custkey = n.n_nationkey) t",
+        "select starts_with(n_name, 'A') as a, not ends_with(n_name, 'A') as b, starts_with(n_name, 'A') as c, starts_with(n_name, 'A') as d, '{\"k\": 5}' as j, (select max(o_totalprice) from orders where o_custkey = n_nationkey) as most, true as v from nation",
+    ),
+    "dialect_json": ("select j ->> 'k' as k, t.j -> 'm' as m, n from (select '{\"k\": 5, \"m\": {\"x\": 1}}' as j, n_nationkey as n from nation) t", "select '5' as k, '{\"x\":1}' as m, n_nationkey as n from nation"),
     "dialect_times": (
         "select to_unixtime(timestamp'2024-03-01 10:20:30') as u, date_bin(interval '15' minute, timestamp'2024-03-01 10:20:30') = timestamp'2024-03-01 10:15:00' as b, date_bin(interval '1' hour, timestamp'2024-03-01 10:20:30', timestamp'2024-03-01 00:30:00') = timestamp'2024-03-01 09:30:00' as o, to_timestamp_seconds(5) = from_unixtime(5) as s, to_timestamp_millis(5000) = to_timestamp_micros(5000000) as m, to_timestamp_nanos(5000000000) = to_timestamp_seconds(5) as n, to_char(date'2024-03-01', 'yyyy/MM') as c, today() = current_date() as d, cast(to_local_time(timestamp'2024-03-01 10:20:30') as string) as l",
         "select 1709288430::bigint as u, true as b, true as o, true as s, true as m, true as n, '2024/03' as c, true as d, '2024-03-01 10:20:30' as l",

@@ -25,6 +25,13 @@ def register(name: str, reader: Callable[[SparkSession, str, dict], DataFrame],
         _writers[name] = writer
 
 
+def register_source(spark: SparkSession, source: type) -> None:
+    """A storage engine of Spark's Python data source interface: read in partitions, written if it has a writer."""
+    spark.dataSource.register(source)
+    name = source.name()
+    register(name, _files(name), lambda df, path, mode, options: df.write.format(name).mode("append" if mode == "append" else "overwrite").options(**options).save(path))
+
+
 def formats() -> list[str]:
     return sorted(_readers)
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from quarry import functions as X
 from quarry import log, sources, streaming
-from quarry.functions.dialect import spelled
+from quarry.functions.dialect import infix, spelled
 from quarry.functions.registry import Functions
 from quarry.operators.mutate import Table
 from quarry.operators.relational import as_of
@@ -203,6 +203,40 @@ def test_dialect():
         spelled("select digest(x, 'none')")
 
 
+def test_infix_leaves_other_text_alone():
+    for text in ("select a - b, x -> x + 1", "select ~a, '~', b - -1", "select transform(s, x -> x + 1)", "select 'SIMILAR TO' as t"):
+        assert infix(text) == text
+    assert infix("where t.a !~* 'x' and b similar to 'a.%'") == "where t.a NOT RLIKE '(?i)x' and b RLIKE '^(?:a\\\\..*)$'"
+
+
+def test_python_data_source(spark):
+    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+    class Squares(DataSource):
+        @classmethod
+        def name(cls):
+            return "squares"
+
+        def schema(self):
+            return "n int, square int"
+
+        def reader(self, schema):
+            most = int(self.options["path"])
+
+            class Reader(DataSourceReader):
+                def partitions(self):
+                    return [InputPartition(k) for k in range(2)]
+
+                def read(self, partition):
+                    for n in range(partition.value, most, 2):
+                        yield n, n * n
+
+            return Reader()
+
+    sources.register_source(spark, Squares)
+    assert sorted(map(tuple, sources.read(spark, "squares", "4").collect())) == [(0, 0), (1, 1), (2, 4), (3, 9)]
+
+
 def test_functions_have_one_name_each(spark):
     def twice(x: pd.Series) -> pd.Series:
         return 2 * x
