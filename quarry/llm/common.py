@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
+_stored: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +46,26 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _stored.add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@atexit.register
+def _tidy() -> None:
+    """At the driver's end: delete the tables that results have been read from, unless the session has ended before."""
+    spark = SparkSession.getActiveSession()
+    for path in list(_stored) if spark is not None else ():
+        try:
+            _delete(spark, path)
+        except Exception:  # the JVM may be gone
+            return
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more, before more are written."""
     gc.collect()
@@ -56,10 +74,8 @@ def release(spark: SparkSession) -> None:
 
 def discard(df: DataFrame) -> None:
     """Delete a stored table that nothing reads any more."""
-    spark, path = df.sparkSession, df.stored_at
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _delete(df.sparkSession, df.stored_at)
+    _stored.discard(df.stored_at)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -4,8 +4,10 @@ A window of `window` symbols holds window - gram + 1 grams of `gram` symbols; it
 equal windows have their anchors at the same place. So instead of every position only anchors (about two in
 window - gram + 2 positions) travel:
 
-1. `anchors`: per document, each anchor's gram hash and the hash of its context, which holds all windows around it.
-   They are dealt by ranges of the gram hash, packed in blobs (a row a range and task), and sorted there.
+1. `anchors`: per document, each anchor's gram hash and the hash of its context, which holds all windows around it. Those
+   of a task that share a whole context are settled there, and one of them travels (for each of the smallest document's
+   places), so that copies don't make a hot group. They are dealt by ranges of the gram hash, packed in blobs (a row a range
+   and task), and sorted there.
 2. `decide`: anchors whose gram is unique are dropped. Those whose whole context is repeated are settled at once. What
    remains are the ends of repeated passages: their contexts are fetched from the texts, and
 3. `refine`, given by the operator, finds which windows of the contexts that share a gram are repeated. Equal windows
@@ -160,12 +162,23 @@ def find(docs: DataFrame, spec: Spec, buckets: int, refine: Callable) -> DataFra
 
         def flush():
             doc, place, h, context = (np.concatenate(x) for x in zip(*held))
-            bucket = _gram_bucket(h, buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket, doc, place, h, context = bucket[order], doc[order], place[order], h[order], context[order]
+            # equal contexts within this task: settled here, so that one of them travels (of the smallest document each)
+            own = W.mix(h * W.PLACE[3] + context)
+            order = np.lexsort((doc, own))
+            new = np.diff(own[order], prepend=~own[order][:1]) != 0
+            number, lead = np.cumsum(new) - 1, np.flatnonzero(new)
+            several = np.bincount(number)[number] > 1
+            settled = doc[order] > doc[order][lead][number] if spec.earlier else several
+            stay = settled if spec.earlier else several & ~new
+            gone, left = order[settled], order[~stay]
+            yield from _deal("i", np.mod(doc[gone], buckets).astype(np.int32), doc[gone], place[gone].astype(np.int32) - spec.reach, place[gone].astype(np.int32) + spec.gram + spec.reach)
+            known = np.zeros(len(left), np.int8) if spec.earlier else several[~stay].astype(np.int8)
+            again = np.lexsort((place[left], doc[left], _gram_bucket(h[left], buckets)))
+            left, known = left[again], known[again]
+            bucket, doc, place, h, context = _gram_bucket(h[left], buckets), doc[left], place[left], h[left], context[left]
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)]):
-                yield _row(int(bucket[a]), "a", _steps(doc[a:b]), _steps(place[a:b].astype(np.int32)), _six(h[a:b]), _six(context[a:b]))
+                yield _row(int(bucket[a]), "a", _steps(doc[a:b]), _steps(place[a:b].astype(np.int32)), _six(h[a:b]), _six(context[a:b]), known[a:b])
 
         for batch in slices(batches, "text", PART):
             v, first, _ = symbols(spec, *utf8(batch.column(1)))
@@ -180,19 +193,22 @@ def find(docs: DataFrame, spec: Spec, buckets: int, refine: Callable) -> DataFra
             yield _batch(list(flush()))
 
     def decide(key, rows):
-        parts = [(np.cumsum(np.frombuffer(r["a"], np.int64)), np.cumsum(np.frombuffer(r["b"], np.int32), dtype=np.int32), _eight(r["c"]), _eight(r["d"])) for r in rows.select(list("abcd")).to_pylist()]
-        doc, place, h, context = (np.concatenate(x) for x in zip(*parts))
+        kinds = rows.column("kind").to_pylist()
+        passed = rows.filter(pa.array([k == "i" for k in kinds])).select(_NAMES)
+        parts = [(np.cumsum(np.frombuffer(r["a"], np.int64)), np.cumsum(np.frombuffer(r["b"], np.int32), dtype=np.int32), _eight(r["c"]), _eight(r["d"]), np.frombuffer(r["e"], np.int8)) for r in rows.filter(pa.array([k == "a" for k in kinds])).select(list("abcde")).to_pylist()]
+        if not parts:
+            return passed.cast(_ARROW)
+        doc, place, h, context, known = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(h, kind="stable")
         s = h[order]
         twin = np.zeros(len(s), bool)
         twin[1:] = s[1:] == s[:-1]
         twin[:-1] |= s[1:] == s[:-1]
         some = order[twin]  # the rank of all others is unique: dropped
-        doc, place, h, context = doc[some], place[some], h[some], context[some]
-        order = np.lexsort((place, doc, context, h))
-        doc, place, h, context = doc[order], place[order], h[order], context[order]
+        order = some[np.lexsort((place[some], doc[some], context[some], h[some]))]
+        doc, place, h, context, known = doc[order], place[order], h[order], context[order], known[order]
         if not len(doc):
-            return _table([])
+            return passed.cast(_ARROW)
         new_gram = np.diff(h, prepend=~h[:1]) != 0
         new_class = new_gram | (np.diff(context, prepend=~context[:1]) != 0)
         number, gram = np.cumsum(new_class) - 1, np.cumsum(new_gram) - 1
@@ -203,15 +219,14 @@ def find(docs: DataFrame, spec: Spec, buckets: int, refine: Callable) -> DataFra
             settled = doc > doc[lead][number]
             ask = new_class & mixed
             copies = ~settled & mixed & ~new_class  # same document, same context: what holds for the first holds for them
-            known = np.zeros(len(doc), np.int8)
         else:
-            settled = size[number] > 1
+            settled = (size[number] > 1) | (known > 0)
             ask = mixed & (new_class | ~settled)  # of settled ones, one to compare with
             known = settled.astype(np.int8)
         out = list(_deal("i", np.mod(doc[settled], buckets).astype(np.int32), doc[settled], place[settled] - spec.reach, place[settled] + spec.gram + spec.reach))
         out += _deal("q", np.mod(doc[ask], buckets).astype(np.int32), doc[ask], place[ask], _six(h[ask]), known[ask], np.full(int(ask.sum()), key[0].as_py(), np.int32))
         out += _deal("m", np.mod(doc[copies], buckets).astype(np.int32), doc[copies], place[copies], place[lead][number][copies])
-        return _table(out)
+        return pa.concat_tables([_table(out), passed.cast(_ARROW)])
 
     def fetch(key, rows):
         kinds = rows.column("kind").to_pylist()
