@@ -316,6 +316,7 @@ SCRIPTS: dict[str, tuple[str, str]] = {
         "select n.n_name ~ '^A' as a, n.n_name !~ 'A$' as b, n_name ~* '^a' as c, n_name similar to 'A%' as d, '{\"k\": 5}' as j, t.most, version() is not null as v from nation n cross apply (select max(o_totalprice) as most from orders where o_custkey = n.n_nationkey) t",
         "select starts_with(n_name, 'A') as a, not ends_with(n_name, 'A') as b, starts_with(n_name, 'A') as c, starts_with(n_name, 'A') as d, '{\"k\": 5}' as j, (select max(o_totalprice) from orders where o_custkey = n_nationkey) as most, true as v from nation",
     ),
+    "dialect_qualify": ("with n as (select * from nation prewhere n_regionkey < 4 where n_name > 'B') select n_regionkey, n_name from n where n_nationkey >= 0 qualify row_number() over (partition by n_regionkey order by n_name) <= 2 and (select max(x) from (select n_nationkey as x from nation qualify rank() over (order by n_nationkey) = 3)) = 2 order by n_name", "select n_regionkey, n_name from nation where n_regionkey < 4 and n_name > 'B' qualify row_number() over (partition by n_regionkey order by n_name) <= 2"),
     "dialect_json": ("select j ->> 'k' as k, t.j -> 'm' as m, n from (select '{\"k\": 5, \"m\": {\"x\": 1}}' as j, n_nationkey as n from nation) t", "select '5' as k, '{\"x\":1}' as m, n_nationkey as n from nation"),
     "dialect_times": (
         "select to_unixtime(timestamp'2024-03-01 10:20:30') as u, date_bin(interval '15' minute, timestamp'2024-03-01 10:20:30') = timestamp'2024-03-01 10:15:00' as b, date_bin(interval '1' hour, timestamp'2024-03-01 10:20:30', timestamp'2024-03-01 00:30:00') = timestamp'2024-03-01 09:30:00' as o, to_timestamp_seconds(5) = from_unixtime(5) as s, to_timestamp_millis(5000) = to_timestamp_micros(5000000) as m, to_timestamp_nanos(5000000000) = to_timestamp_seconds(5) as n, to_char(date'2024-03-01', 'yyyy/MM') as c, today() = current_date() as d, cast(to_local_time(timestamp'2024-03-01 10:20:30') as string) as l",

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from quarry import functions as X
 from quarry import log, sources, streaming
-from quarry.functions.dialect import infix, spelled
+from quarry.functions.dialect import clauses, infix, spelled
 from quarry.functions.registry import Functions
 from quarry.operators.mutate import Table
 from quarry.operators.relational import as_of
@@ -203,6 +203,13 @@ def test_dialect():
         spelled("select digest(x, 'none')")
 
 
+def test_clauses():
+    assert clauses("select a from t qualify rank() over (order by b) = 1 limit 3") == "SELECT * EXCEPT (__kept) FROM (select a, (rank() over (order by b) = 1) AS __kept from t) WHERE __kept limit 3"
+    assert clauses("select 'qualify' from t") == "select 'qualify' from t"
+    with pytest.raises(QuarryError):
+        clauses("select distinct a from t qualify rank() over (order by b) = 1")
+
+
 def test_infix_leaves_other_text_alone():
     for text in ("select a - b, x -> x + 1", "select ~a, '~', b - -1", "select transform(s, x -> x + 1)", "select 'SIMILAR TO' as t"):
         assert infix(text) == text
