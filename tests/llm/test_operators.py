@@ -356,6 +356,32 @@ def test_jaccard(clean, docs):
     assert sorted(r.doc_id for r in jaccard.keep_one(clean).collect()) == sorted(set(group))
 
 
+def test_jaccard_of_one_large_group_of_near_copies(spark, monkeypatch):
+    """Copies of one text with 0 to 30 words changed: chains, stars and pairs just below the threshold; a third are equal."""
+    r = random.Random(9)
+    base = prose(150).split()
+    texts = []
+    for _ in range(260):
+        w = list(base)
+        for p in r.sample(range(150), r.choice([0, 1, 2, 3, 4, 5, 6, 8, 12, 30])):
+            w[p] = "e" + str(r.randrange(5))
+        texts.append(" ".join(w))
+    texts += [texts[7]] * 130 + [prose(150) for _ in range(20)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if group[i] != group[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = {i: (len(s), group[i]) for i, s in enumerate(sets)}
+    assert len(set(group)) > 20 and {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.classes(df).collect()} == want
+    monkeypatch.setattr(jaccard, "TURNS", 0)  # the last block alone finds all links as well
+    monkeypatch.setattr(jaccard, "SET_ROW", 16)  # sets in several rows
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.classes(df).collect()} == want
+
+
 def test_keep_one_keeps_one_row_of_each_component(spark):
     a, b, c = BASE[:3]
     rows = [(7, a), (7, a), (None, a), (None, b), (None, b + " tail"), (8, ""), (None, None), (9, c), (9, a), (10, c), (11, b + " tail b"), (None, BASE[3]), (None, BASE[3] + " tail")]
