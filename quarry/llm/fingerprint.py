@@ -6,8 +6,8 @@ The difference of two digests is the sum of the counters' quartile steps (two ap
 length's, bounded; likeness is 1 minus the difference over its bound.
 
 Null text is empty; an empty text has all counters equal and length code 0; equal texts have equal fingerprints.
-`neighbours` pairs each row with the next in ascending doc_id (null first, ties by text; after the last, the first)
-without a global window: rows go to range buckets at approximate quantiles of doc_id, and the first row of each bucket
+`neighbours` pairs each row with the next in ascending doc_id (null first, those by a hash of the text; ties by text; after the
+last, the first) without a global window: rows go to range buckets at approximate quantiles of doc_id or ranges of the hash, and the first row of each bucket
 is sent to the bucket before it as well. A table of one row is its own next. Very long texts are hashed in parts of PART bytes;
 repeated rows and ids stand beside one another in the order of their texts; other columns aren't read, whatever their names.
 An empty table gives an empty table.
@@ -80,55 +80,54 @@ def edited(text: str, following: str) -> str:
 
 
 def neighbours(docs: DataFrame, per_bucket: int = 1000) -> DataFrame:
-    """(bucket, copy, doc_id, text), dealt so that a bucket's rows, sorted, end with a copy of the next bucket's first row.
+    """(bucket, copy, none, key, text), dealt so that a bucket's rows, sorted, end with a copy of the next bucket's first row.
 
-    The driver gets at most MAX_CUTS quantiles of doc_id and the first id of each bucket, never texts.
+    key is the doc_id or, where it is null (`none`), a hash of the text, by whose ranges such rows go to buckets below 0. The
+    driver gets at most MAX_CUTS quantiles of doc_id and the first key of each bucket, never texts.
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = d.select("doc_id")
-    parts = max(1, min(MAX_CUTS, ids.count() // per_bucket))
-    marks = F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts) if parts > 1 else F.lit(None)
-    cuts = np.unique(np.asarray(ids.agg(marks.alias("cuts")).first()["cuts"] or [], np.int64))
-
-    def bucket_of(column: pa.Array) -> np.ndarray:
-        given = column.is_valid().to_numpy(zero_copy_only=False)
-        return np.where(given, np.searchsorted(cuts, column.fill_null(0).to_numpy(), "right"), 0).astype(np.int32)
+    text, id = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    d = docs.select(id.isNull().alias("none"), F.coalesce(id, F.xxhash64(text)).alias("key"), text.alias("text"))
+    ids = d.select("none", "key")
+    rows, given = ids.agg(F.count("*"), F.count_if(~F.col("none"))).first()
+    parts, spread = (max(1, min(MAX_CUTS, n // per_bucket)) for n in (given, rows - given))
+    marks = F.percentile_approx("key", [i / parts for i in range(1, parts)], 10 * parts) if parts > 1 else F.lit(None)
+    cuts = np.unique(np.asarray(ids.filter("not none").agg(marks.alias("cuts")).first()["cuts"] or [], np.int64))
+    edges = np.asarray([(k << 64) // spread - (1 << 63) for k in range(1, spread)], np.int64)
+
+    def bucket_of(none: pa.Array, key: pa.Array) -> np.ndarray:
+        k = key.to_numpy()
+        return np.where(none.to_numpy(zero_copy_only=False), np.searchsorted(edges, k, "right") - spread, np.searchsorted(cuts, k, "right")).astype(np.int32)
 
     def place(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(batch.column(0))), batch.column(0)], names=["bucket", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(*batch.columns)), *batch.columns], names=["bucket", "none", "key"])
 
-    placed = ids.mapInArrow(place, "bucket int, doc_id long").groupBy("bucket")
-    firsts = sorted(placed.agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("none")).collect())
-    before = {None if none else i: firsts[k - 1][0] for k, (_, i, none) in enumerate(firsts)}
-    to_null = before.pop(None, None)
-    keys = np.asarray(sorted(before), np.int64)
-    to = np.asarray([before[k] for k in keys.tolist()], np.int32)
+    placed = ids.mapInArrow(place, "bucket int, none boolean, key long").groupBy("bucket", "none")
+    firsts = sorted(placed.agg(F.min("key").alias("key")).collect())  # one row a bucket
+    before = [{k: firsts[i - 1][0] for i, (_, none, k) in enumerate(firsts) if none == kind} for kind in (False, True)]
+    keys = [np.asarray(sorted(x), np.int64) for x in before]
+    to = [np.asarray([x[k] for k in sorted(x)], np.int32) for x in before]
 
     def deal(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            column = batch.column(0)
-            given = column.is_valid().to_numpy(zero_copy_only=False)
-            goes = np.full(len(column), -1, np.int32)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, column.fill_null(0).to_numpy()), len(keys) - 1)
-                hit = given & (keys[at] == column.fill_null(0).to_numpy())
-                goes[hit] = to[at[hit]]
-            if to_null is not None:
-                goes[~given] = to_null
-            twice = np.flatnonzero(goes >= 0)
-            copies = batch.take(pa.array(twice))
-            for some, bucket, copy in ((batch, bucket_of(column), False), (copies, goes[twice], True)):
-                flag = pa.array(np.full(some.num_rows, copy))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), flag, *some.columns], names=["bucket", "copy", "doc_id", "text"])
-
-    return d.mapInArrow(deal, "bucket int, copy boolean, doc_id long, text string")
+            none, key = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            goes, twice = np.zeros(len(key), np.int32), np.zeros(len(key), bool)
+            for kind in (0, 1):
+                if len(keys[kind]):
+                    at = np.minimum(np.searchsorted(keys[kind], key), len(keys[kind]) - 1)
+                    hit = (none == bool(kind)) & (keys[kind][at] == key)
+                    goes[hit], twice = to[kind][at[hit]], twice | hit
+            copies = batch.take(pa.array(np.flatnonzero(twice)))
+            for some, bucket, copy in ((batch, bucket_of(*batch.columns[:2]), False), (copies, goes[twice], True)):
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(some.num_rows, copy)), *some.columns], names=["bucket", "copy", "none", "key", "text"])
+
+    return d.mapInArrow(deal, "bucket int, copy boolean, none boolean, key long, text string")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: fingerprints of its text and of its edited text, and how like they and the next one's are."""
     dealt = neighbours(docs)
-    dealt = dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket", "copy", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket", "copy", "key", "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
@@ -136,7 +135,8 @@ def digest(docs: DataFrame) -> DataFrame:
         held = None  # bucket, doc_id, text, fingerprint of the row whose next one isn't known yet
         for batch in batches:
             rows = []
-            for bucket, copy, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, copy, none, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                doc_id = None if none else key
                 if held is None and copy or held is not None and copy and held[0] != bucket:
                     continue
                 own = fingerprint(text.encode())

@@ -402,6 +402,14 @@ def test_fingerprint(docs, clean, monkeypatch):
             assert (got[i].n_chars, got[i].edited_sha256) == (len(t), sha(e))
             assert got[i].fingerprint == fingerprint.fingerprint(t.encode()) and got[i].near_next == fingerprint.likeness(got[i].fingerprint, fingerprint.fingerprint(nxt.encode()))
         assert fingerprint.digest(docs).count() == len(ROWS)
+    # rows without an id come first, in buckets of their own, and every row has one next row
+    nulls = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    got = fingerprint.digest(nulls).collect()
+    assert len(got) == 2 * len(ROWS)
+    after = Counter(r.edited_sha256 for r in got if r.doc_id is not None and r.doc_id > 5)
+    want = {i: TEXTS[i] or "" for i in ids if i > 5}
+    edit = lambda t, u: t[: len(t) - len(t) // 4] + u[: len(t) // 4]
+    assert all(after[sha(edit(want[i], want[i + 1]))] for i in ids if 5 < i < len(ids) - 1)
     a, b = fingerprint.fingerprint(BASE[0].encode()), fingerprint.fingerprint(BASE[1].encode())
     assert 0 <= fingerprint.likeness(a, b) == fingerprint.likeness(b, a) < fingerprint.likeness(a, a) == 1
 
