@@ -7,9 +7,9 @@ make a band. Lines that share a band (4 parts x 2 bands) are candidates. A pair
 of its shingle sets is at least PERCENT / 100; linked lines are joined by distributed union-find; and of all occurrences
 of a component's lines the first (by doc_id, then place) stays.
 
-Beside its minima a line has a sketch: which of 256 bits a part its shingles hash to. Bits that one of two lines has and the
-other hasn't come from shingles that differ, so their number bounds the similarity from above, and pairs that can't reach
-the threshold are discarded before any text is fetched. The bound never drops a linked pair.
+Lines that share a band get a sketch: the parity of the number of their different shingles in each of 2048 hash blocks. Two
+sets differ in as many shingles as parities at least, so the sketches bound the similarity from above, and pairs that can't
+reach the threshold are discarded before their sets are compared. The bound never drops a linked pair.
 
 Bands are worked on in turns. In each, lines are put in an order of the turn's own; a line is paired with its bands' first and
 previous lines of other components, keeps the TRIES partners whose sketches are nearest, and the pairs are verified and
@@ -40,9 +40,9 @@ from quarry.llm.components import components
 
 SHINGLE, PERCENT = 7, 80
 ROWS, BANDS, PARTS = 3, 2, 4
-#: Sketch words a part; partners that a line keeps in a turn, and turns at most.
-WORDS, TRIES, TURNS = 4, 1, 8
-_SKETCH = [f"w{k}" for k in range(PARTS * WORDS)]
+#: 64-bit words of a sketch; partners that a line keeps in a turn, and turns at most.
+WORDS, TRIES, TURNS = 32, 1, 8
+_SKETCH = [f"w{k}" for k in range(WORDS)]
 _random = random.Random(7)
 #: One mask a minimum; the top bits stay as they are, for they choose the part.
 MASKS = [_random.getrandbits(62) for _ in range(ROWS * BANDS)]
@@ -63,10 +63,11 @@ def _hash(units: Column, place: Column) -> Column:
     return F.xxhash64(F.substring(units, place, F.lit(2 * SHINGLE)))
 
 
-def shingles(units: str) -> Column:
-    """Distinct shingles of a line, given its units, as 32-bit hashes: half the bytes to send, and of two lines with 250 shingles
-    one pair in 100,000 has a shingle taken for another."""
-    return F.array_distinct(F.transform(_places(units), lambda i: F.hash(F.substring(F.col(units), i, F.lit(2 * SHINGLE)))))
+def _hashes(lines: DataFrame) -> DataFrame:
+    """(lid, h) of every shingle of (lid, line)."""
+    d = lines.select("lid", _units(F.col("line")).alias("units"))
+    d = d.select("lid", "units", F.explode(_places("units")).alias("place"))
+    return d.select("lid", _hash(F.col("units"), F.col("place")).alias("h"))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -85,43 +86,40 @@ def distinct_lines(places: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(lid, n, sketch words w0 .., bands b0 ..) of each line; n counts its shingles, repeats too. `lines` is dealt by lid, so
-    nothing here needs a further shuffle."""
-    d = lines.select("lid", _units(F.col("line")).alias("units"))
-    d = d.select("lid", "units", F.explode(_places("units")).alias("place"))
-    d = d.select("lid", _hash(F.col("units"), F.col("place")).alias("h"))
-    # bits from the top: two for the part, two for the sketch word, six for its bit
-    d = d.select("lid", "h", F.shiftrightunsigned("h", 62).cast("int").alias("part"), (F.shiftrightunsigned("h", 60) % WORDS).cast("int").alias("word"))
-    d = d.withColumn("bit", F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 54).cast("int")))
-    none = F.lit(0).cast("long")
-    words = [F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(none)).alias(f"w{k}") for k in range(WORDS)]
-    minima = d.groupBy("lid", "part").agg(F.count("*").alias("n"), *words, *(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)))
-    bands = [F.xxhash64("part", F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))).alias(f"b{b}") for b in range(BANDS)]
-    minima = minima.select("lid", "part", "n", *(f"w{k}" for k in range(WORDS)), *bands)
-    of = lambda c, k: F.max(F.when(F.col("part") == k, F.col(c)))
-    words = [F.coalesce(of(f"w{k % WORDS}", k // WORDS), none).alias(w) for k, w in enumerate(_SKETCH)]
-    return minima.groupBy("lid").agg(F.sum("n").cast("int").alias("n"), *words, *(of(f"b{b}", k).alias(f"b{BANDS * k + b}") for k in range(PARTS) for b in range(BANDS)))
-
-
-def banded(signed: DataFrame) -> DataFrame:
-    """(band, lid) of lines that share a band with another."""
-    rows = signed.select("lid", F.explode(F.array(*(f"b{k}" for k in range(PARTS * BANDS)))).alias("band")).filter("band is not null")
+    """(lid, band) of the bands of each line. `lines` is dealt by lid, so minima need no further shuffle."""
+    d = _hashes(lines).withColumn("part", F.shiftrightunsigned("h", 62).cast("int"))
+    minima = d.groupBy("lid", "part").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)))
+    bands = F.array(*(F.xxhash64("part", F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
+    return minima.select("lid", F.explode(bands).alias("band"))
+
+
+def sketches(lines: DataFrame) -> DataFrame:
+    """(lid, n, sketch words w0 ..) of each line: the number of its different shingles, and their parities by hash block."""
+    d = _hashes(lines.repartition("lid")).distinct()  # dealt by lid once, as text
+    # bits from the top: five for the word, six for its bit
+    d = d.select("lid", F.shiftrightunsigned("h", 59).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 53).cast("int")).alias("bit"))
+    words = [F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(_SKETCH)]
+    return d.groupBy("lid").agg(F.count("*").cast("int").alias("n"), *words)
+
+
+def banded(rows: DataFrame) -> DataFrame:
+    """(lid, band) of lines that share a band with another."""
     w = W.partitionBy("band").orderBy("lid")
     shared = F.lag("lid").over(w).isNotNull() | F.lead("lid").over(w).isNotNull()
     return rows.withColumn("shared", shared).filter("shared").drop("shared")
 
 
-def _open(table: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """The rows with their components, in the bands that hold several."""
+def _open(bands: DataFrame, fine: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The rows with their components and sketches, in the bands that hold several components."""
     if groups is None:
-        return table.withColumn("component", F.col("lid"))
-    marked = table.join(groups, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
+        return bands.withColumn("component", F.col("lid")).join(fine, "lid")
+    marked = bands.join(groups, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
     several = marked.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    return marked.join(several, "band", "left_semi")
+    return marked.join(several, "band", "left_semi").join(fine, "lid")
 
 
 def _differ(x, y) -> Column:
-    """Number of sketch bits that one line has and the other hasn't."""
+    """Number of hash blocks of which one line's count is even and the other's odd."""
     return sum(F.bit_count(x(w).bitwiseXOR(y(w))) for w in _SKETCH)
 
 
@@ -167,9 +165,11 @@ def remaining(marked: DataFrame, tried: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs whose exact similarity reaches the threshold; each line's set is worked out once."""
+    """The pairs whose exact similarity reaches the threshold. Each line's set is worked out once, and sent as 32 bits a shingle: of
+    two lines with 250 shingles one pair in 100,000 has a shingle taken for another."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    sets = store(lines.join(needed, "lid", "left_semi").select("lid", _units(F.col("line")).alias("units")).select("lid", shingles("units").alias("s")), "line-sets")
+    sets = _hashes(lines.join(needed, "lid", "left_semi").repartition("lid")).select("lid", F.hash("h").alias("h")).distinct()
+    sets = store(sets.groupBy("lid").agg(F.collect_list("h").alias("s")), "line-sets")
     release(pairs.sparkSession)
     a, b = (sets.select(F.col("lid").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     n = F.size("sa") + F.size("sb")
@@ -180,13 +180,13 @@ def linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return found
 
 
-def groups_of(table: DataFrame, lines: DataFrame) -> DataFrame:
-    """(lid, component) of the lines that are linked with another. table: (band, lid, n, sketch); lines: (lid, line)."""
-    spark = table.sparkSession
+def groups_of(bands: DataFrame, fine: DataFrame, lines: DataFrame) -> DataFrame:
+    """(lid, component) of the lines that are linked with another, from their bands, sketches and texts."""
+    spark = bands.sparkSession
     found = groups = tried = None
     held, known = [], 0
     for turn in range(TURNS):
-        pairs = store(candidates(_open(table, groups), tried, turn), "line-pairs")
+        pairs = store(candidates(_open(bands, fine, groups), tried, turn), "line-pairs")
         held.append(pairs)
         release(spark)
         tried, new = pairs if tried is None else tried.union(pairs), linked(pairs, lines)
@@ -196,7 +196,7 @@ def groups_of(table: DataFrame, lines: DataFrame) -> DataFrame:
             groups = components(found).select(F.col("node").alias("lid"), "component")
         if 50 * count < known or not count:  # what links remain are too few to be met this way
             break
-    rest = remaining(_open(table, groups), tried)
+    rest = remaining(_open(bands, fine, groups), tried)
     release(spark)
     if not rest.isEmpty():
         groups = components(found.union(linked(rest, lines))).select(F.col("node").alias("lid"), "component")
@@ -209,22 +209,18 @@ def removals(docs: DataFrame) -> DataFrame:
     """(id, th, gone): numbers of the lines to remove from each document that has any."""
     spark = docs.sparkSession
     texts = store(occurrences(docs), "line-texts")
-    signed = store(signatures(distinct_lines(texts.select("lid", "line"))), "line-signatures")
-    release(spark)
-    bands = store(banded(signed), "line-bands")
-    release(spark)
-    table = store(bands.join(signed.select("lid", "n", *_SKETCH), "lid"), "line-sketches")
-    discard(bands)
-    discard(signed)
+    bands = store(banded(signatures(distinct_lines(texts.select("lid", "line")))), "line-bands")
     release(spark)
     # of the texts only those of lines that share a band are needed from here on
-    lines = store(distinct_lines(texts.select("lid", "line").join(table.select("lid").distinct(), "lid", "left_semi")), "lines")
+    lines = store(distinct_lines(texts.select("lid", "line").join(bands.select("lid").distinct(), "lid", "left_semi")), "lines")
     places = store(texts.drop("line"), "line-places")
     discard(texts)
     release(spark)
-    groups = groups_of(table, lines)
-    discard(table)
-    discard(lines)
+    fine = store(sketches(lines), "line-sketches")
+    release(spark)
+    groups = groups_of(bands, fine, lines)
+    for table in (bands, fine, lines):
+        discard(table)
     o = places.join(groups, "lid", "left").select("id", "th", "no", F.coalesce("component", "lid").alias("component"))
     first = store(o.groupBy("component").agg(F.min(F.struct("id", "th", "no")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("component", "first"), "line-firsts")
     gone = o.join(first, "component").filter(F.struct("id", "th", "no") != F.col("first"))
