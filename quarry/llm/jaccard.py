@@ -221,11 +221,10 @@ def _next_block(marked: DataFrame, tried: DataFrame, turn: int, percent: int) ->
     column = W.partitionBy("shingle").orderBy(F.xxhash64("id", F.lit(turn)), "id")
     both = marked.select("id", "n", "place", "component", *_WORDS, F.lag(mine).over(column).alias("last"), F.first(mine).over(column).alias("first"))
     tries = []
-    for side in ("last", "first"):
-        other = lambda c, side=side: F.col(side).getField(c)
+    for other in [lambda c, side=side: F.col(side).getField(c) for side in ("last", "first")]:
         possible = (other("component") != F.col("component")) & _possible(F.col("n"), F.col("place"), other("n"), other("place"), percent) & _room(F.col, other, percent)
-        tries.append(both.filter(possible).select("id", "n", other("id").alias("other"), other("n").alias("m"), _differ(F.col, other).alias("differ")))
-    pairs = tries[0].union(tries[1]).distinct()
+        tries.append(F.when(possible, F.struct(other("id").alias("other"), other("n").alias("m"), _differ(F.col, other).alias("differ"))))
+    pairs = both.select("id", "n", F.explode(F.array(*tries)).alias("pair")).filter("pair is not null").select("id", "n", "pair.*").distinct()
     best = pairs.withColumn("nth", F.row_number().over(W.partitionBy("id").orderBy("differ", "other")))
     return _ordered(best.filter(F.col("nth") <= TRIES)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
 

@@ -140,12 +140,10 @@ def candidates(marked: DataFrame, tried: DataFrame | None, turn: int) -> DataFra
     mine = F.struct("lid", "n", "component", *_SKETCH)
     w = W.partitionBy("band").orderBy(F.xxhash64("lid", F.lit(turn)), "lid")
     both = marked.select("lid", "n", "component", *_SKETCH, F.lag(mine).over(w).alias("last"), F.first(mine).over(w).alias("first"))
-    tries = []
-    for side in ("last", "first"):
-        other = lambda c, side=side: F.col(side).getField(c)
-        able = both.filter((other("component") != F.col("component")) & _possible(F.col, other))
-        tries.append(able.select("lid", other("lid").alias("other"), _differ(F.col, other).alias("differ")))
-    best = tries[0].union(tries[1]).distinct().withColumn("nth", F.row_number().over(W.partitionBy("lid").orderBy("differ", "other")))
+    of = [lambda c, side=side: F.col(side).getField(c) for side in ("last", "first")]
+    tries = [F.when((other("component") != F.col("component")) & _possible(F.col, other), F.struct(other("lid").alias("other"), _differ(F.col, other).alias("differ"))) for other in of]
+    able = both.select("lid", F.explode(F.array(*tries)).alias("pair")).filter("pair is not null").select("lid", "pair.*").distinct()
+    best = able.withColumn("nth", F.row_number().over(W.partitionBy("lid").orderBy("differ", "other")))
     pairs = best.filter(F.col("nth") <= TRIES).select(*_pairs(F.col("lid"), F.col("other"))).distinct()
     return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
