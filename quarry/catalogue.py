@@ -310,7 +310,7 @@ SCRIPTS: dict[str, tuple[str, str]] = {
     "stmt_qualified_names": ("select d.nation.n_name, o.o_orderkey from main.d.nation join d.orders as o on d.nation.n_nationkey = o.o_custkey", "select n_name, o_orderkey from nation join orders on n_nationkey = o_custkey"),
     "dialect_names": (
         "select n_nationkey, starts_with(n_name, 'A') as s, strpos(n_name, 'A') as p, to_hex(n_nationkey) as h, log(100.0) as l, gcd(n_nationkey, 12) as g, lcm(n_nationkey, 4) as m, trunc(n_nationkey / 7) as t, iszero(n_regionkey) as z, concat(n_name, null, '!') as c, get_field(named_struct('a', n_name), 'a') as f, arrow_cast(n_nationkey, 'Utf8') as u, array_length(make_array(1, n_nationkey)) as q from nation",
-        "select n_nationkey, starts_with(n_name, 'A') as s, strpos(n_name, 'A')::int as p, lower(to_hex(n_nationkey)) as h, 2.0 as l, gcd(n_nationkey, 12) as g, lcm(n_nationkey, 4) as m, trunc(n_nationkey / 7) as t, n_regionkey = 0 as z, n_name || '!' as c, n_name as f, n_nationkey::varchar as u, 2 as q from nation",
+        "select n_nationkey, starts_with(n_name, 'A') as s, strpos(n_name, 'A')::int as p, lower(to_hex(n_nationkey)) as h, 2.0::double as l, gcd(n_nationkey, 12) as g, lcm(n_nationkey, 4) as m, trunc(n_nationkey / 7) as t, n_regionkey = 0 as z, n_name || '!' as c, n_name as f, n_nationkey::varchar as u, 2 as q from nation",
     ),
     "dialect_operators": (
         "select n.n_name ~ '^A' as a, n.n_name !~ 'A$' as b, n_name ~* '^a' as c, n_name similar to 'A%' as d, '{\"k\": 5}' as j, t.most, version() is not null as v from nation n cross apply (select max(o_totalprice) as most from orders where o_custkey = n.n_nationkey) t",
