@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, store
+from quarry.llm.common import discard, release, store
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -40,6 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         following = store(_round(current), "edges")
         discard(current)
+        release(edges.sparkSession)  # a round's shuffles are many small files
         current, before, state = following, state, _state(following)
         if state == before:
             break

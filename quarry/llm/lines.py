@@ -63,6 +63,11 @@ def _hash(units: Column, place: Column) -> Column:
     return F.xxhash64(F.substring(units, place, F.lit(2 * SHINGLE)))
 
 
+def _dealt(lines: DataFrame) -> DataFrame:
+    """Lines by lid, once, as text. A line's shingles are some 30 times its bytes, so the parts are smaller than other shuffles'."""
+    return lines.repartition(2 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lid")
+
+
 def _hashes(lines: DataFrame) -> DataFrame:
     """(lid, h) of every shingle of (lid, line)."""
     d = lines.select("lid", _units(F.col("line")).alias("units"))
@@ -95,7 +100,7 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 def sketches(lines: DataFrame) -> DataFrame:
     """(lid, n, sketch words w0 ..) of each line: the number of its different shingles, and their parities by hash block."""
-    d = _hashes(lines.repartition("lid")).distinct()  # dealt by lid once, as text
+    d = _hashes(_dealt(lines)).distinct()
     # bits from the top: five for the word, six for its bit
     d = d.select("lid", F.shiftrightunsigned("h", 59).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 53).cast("int")).alias("bit"))
     words = [F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(_SKETCH)]
@@ -166,7 +171,7 @@ def linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs whose exact similarity reaches the threshold. Each line's set is worked out once, and sent as 32 bits a shingle: of
     two lines with 250 shingles one pair in 100,000 has a shingle taken for another."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    sets = _hashes(lines.join(needed, "lid", "left_semi").repartition("lid")).select("lid", F.hash("h").alias("h")).distinct()
+    sets = _hashes(_dealt(lines.join(needed, "lid", "left_semi"))).select("lid", F.hash("h").alias("h")).distinct()
     sets = store(sets.groupBy("lid").agg(F.collect_list("h").alias("s")), "line-sets")
     release(pairs.sparkSession)
     a, b = (sets.select(F.col("lid").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
