@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.common import tidied
+
 MAX_RANK_BYTES = 64 << 20
 #: Characters in a part of a long text, about.
 PART = 1 << 16
@@ -132,4 +134,4 @@ def digest(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
             )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(work), schema)

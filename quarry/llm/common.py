@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,20 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at, data
 
 
+def tidied(work: Callable) -> Callable:
+    """An Arrow kernel after which the worker, which waits for further tasks, gives free memory back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about `most` bytes of text (one row at least): bounds a kernel's memory."""
     for batch in batches:

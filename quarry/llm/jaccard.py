@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, release, slices, store, utf8
+from quarry.llm.common import discard, release, slices, store, tidied, utf8
 from quarry.llm.components import components
 from quarry.llm.words import mix, shingle_sets
 
@@ -105,7 +105,7 @@ def signatures(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array(blobs, pa.binary()), *(pa.nulls(SEGMENTS, t) for t in own)], names=names)
 
     schema = "segment int, counts binary, doc_id long, id long, n int, " + ", ".join(f"{w} long" for w in _WORDS)
-    both = store(docs.select("doc_id", "text").mapInArrow(work, schema), "signatures")
+    both = store(docs.select("doc_id", "text").mapInArrow(tidied(work), schema), "signatures")
 
     def add(key, rows):
         counts = np.zeros(width, np.int64)
@@ -147,7 +147,7 @@ def incidence(docs: DataFrame, level: np.ndarray, size: int, percent: int) -> Da
             if shingle:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([x.astype(np.int64) for x in shingle], ids, ns, places)], names=["shingle", "id", "n", "place"])
 
-    return docs.select("text").mapInArrow(work, "shingle long, id long, n int, place int")
+    return docs.select("text").mapInArrow(tidied(work), "shingle long, id long, n int, place int")
 
 
 def sets_of(docs: DataFrame, size: int, bits: int) -> DataFrame:
@@ -165,7 +165,7 @@ def sets_of(docs: DataFrame, size: int, bits: int) -> DataFrame:
                         parts.append(part.astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blocks, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["id", "block", "shingles"])
 
-    return docs.select("text").mapInArrow(work, "id long, block int, shingles array<long>")
+    return docs.select("text").mapInArrow(tidied(work), "id long, block int, shingles array<long>")
 
 
 def _possible(n, place, m, other, percent: int):

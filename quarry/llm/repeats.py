@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.common import release, slices, store, utf8
+from quarry.llm.common import release, slices, store, tidied, utf8
 
 #: Bytes of text that a kernel works on at once, bytes of text a bucket, anchors that a task gathers before it deals them.
-PART, BUCKET, GATHER = 4 << 20, 4 << 20, 1 << 20
+PART, BUCKET, GATHER = 1 << 20, 4 << 20, 1 << 19
 _LOW = np.uint64((1 << 48) - 1)
 _BLOB = "bucket int, kind string, doc_id long, text string, a binary, b binary, c binary, d binary, e binary"
 _NAMES = [x.split()[0] for x in _BLOB.split(", ")]
@@ -267,7 +267,7 @@ def find(docs: DataFrame, spec: Spec, buckets: int, refine: Callable) -> DataFra
         return _table(list(_deal("i", np.mod(d, buckets).astype(np.int32), d, a.astype(np.int32), b.astype(np.int32))))
 
     texts = docs.select(F.pmod("doc_id", F.lit(buckets)).cast("int").alias("bucket"), F.lit("t").alias("kind"), "doc_id", "text", *(F.lit(None).cast("binary").alias(c) for c in "abcde"))
-    dealt = docs.mapInArrow(gather, _BLOB)
+    dealt = docs.mapInArrow(tidied(gather), _BLOB)
     decided = store(dealt.groupBy("bucket").applyInArrow(decide, _BLOB), "decided")
     del dealt
     release(spark)

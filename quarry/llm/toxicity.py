@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import discard, store
+from quarry.llm.common import discard, store, tidied
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 6_000
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
             yield batch.filter(pa.array(tied(*(batch.column(k).to_numpy() for k in (1, 2)), n_toxic, n - n_toxic)))
 
     schema = "feature string, n long, toxic long"
-    counted = rows.select("text", "_label").mapInArrow(count, schema).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    counted = rows.select("text", "_label").mapInArrow(tidied(count), schema).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     names = sorted(r.feature for r in counted.mapInArrow(choose, schema).select("feature").collect())
     sent = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
@@ -219,7 +219,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             made_arrays = [pa.array(list(c), t) for c, t in zip(columns, (pa.float64(), pa.int64(), pa.int64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *made_arrays], names=[*keep, *made])
 
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(tidied(work), schema)
 
 
 def held_out(doc_id) -> object:
