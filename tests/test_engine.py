@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from quarry import catalogue, log, sources, streaming
 from quarry import functions as X
-from quarry.functions.dialect import clauses, infix, spelled
+from quarry.functions.dialect import apart, clauses, infix, spelled
 from quarry.functions.registry import Functions
 from quarry.operators.mutate import Table
 from quarry.operators.relational import as_of
@@ -280,6 +280,15 @@ def test_memory_source_and_engines(spark):
             bad()
 
 
+def test_distinct_counts_stand_apart_from_large_states(spark, tmp_path):
+    df = Session(spark, f"file://{tmp_path}").query("select count(distinct k % 3) + 1 as n, median(k) as m from (values (1), (2), (5), (null)) t(k) where k > 1")
+    assert tuple(df.first()) == (2, 3.5)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("distinct" in x and "percentile" in x for x in plan.splitlines())
+    for same in ("select count(distinct a), median(b) from t", "select a, count(distinct b) as n, median(b) as m from t group by a", "select count(distinct a) as n, median(b) as m from t where rand() < b", "select count(distinct a) as n, sum(b) as m from t"):
+        assert apart(same) == same
+
+
 def test_settings():
     s = settings.Settings()
     s.register(settings.Setting("x.threads", int, 8, ("system", "session")), settings.Setting("x.spill", bool, False))
