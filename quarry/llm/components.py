@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, release, store
+from quarry.llm.common import discard, release, spent, store
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def _round(edges: DataFrame) -> DataFrame:
 
 
 def _state(edges: DataFrame):
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    with spent(edges.sparkSession):
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import automata, bpe, components, fingerprint, gif, jaccard, lines, mixing, private, queries, suffix_array, toxicity
+from quarry.llm import automata, bpe, common, components, fingerprint, gif, jaccard, lines, mixing, private, queries, suffix_array, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size string"
 rng = random.Random(3)
@@ -115,6 +115,14 @@ def test_line_dedup_recall_among_lines_of_a_long_template(spark):
     assert sum(got[i] for i in range(800)) == 0 and sum(got[800 + n] for n in range(200)) >= 198
 
 
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    before = files()
+    stored = common.store(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert not files() - before and stored.count() == 7
+    common.discard(stored)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (300, 300), (-5, 202), (202, 200)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
