@@ -274,19 +274,22 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[Da
         linked = new.count()
         known += linked
         if linked:
-            found = found.union(new)
-            inside = components(found)
+            inside = components(_joined(inside, new))
         if 50 * linked < known:  # what links remain are too few to be met this way
             break
     rest = _last_block(_open(sketched, inside), tried, percent)
     discard(sketched)
     release(spark)
     if not rest.isEmpty():
-        found = found.union(_verified(rest, docs, rows, size, percent, bits))
-        inside = components(found)
+        inside = components(_joined(inside, _verified(rest, docs, rows, size, percent, bits)))
     return rows.select("doc_id", "id", "n"), inside
 
 
+def _joined(inside: DataFrame, new: DataFrame) -> DataFrame:
+    """The edges of components and new links: each node's to its component's smallest stands for all links before."""
+    return inside.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new.select("a", "b"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
     sets = _sets_for(pairs, docs, rows, size, bits)
     found = store(_linked(pairs, sets, percent), "links")

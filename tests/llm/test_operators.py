@@ -130,6 +130,19 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_take_few_tasks(spark, monkeypatch):
+    r = random.Random(4)
+    edges = spark.createDataFrame([(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(350)], "a long, b long")
+    spark.sparkContext.setJobGroup("few edges", "few edges")
+    few = sorted(map(tuple, components.components(edges).collect()))
+    spark.sparkContext.setJobGroup("", "")
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few edges") for s in tracker.getJobInfo(j).stageIds]
+    assert 0 < sum(s.numCompletedTasks for s in stages if s) < 100
+    monkeypatch.setattr(components, "SMALL", 0)
+    assert sorted(map(tuple, components.components(edges).collect())) == few
+
+
 def test_lzw_round_trips():
     for bits in (2, 4, 8):
         for n in (0, 1, 2, 3, 255, 4097, 30_000):
