@@ -13,7 +13,8 @@ reach the threshold are discarded before their sets are compared. The bound neve
 
 Bands are worked on in turns. In each, lines are put in an order of the turn's own; a line is paired with its bands' first and
 previous lines of other components, keeps the TRIES partners whose sketches are nearest, and the pairs are verified and
-joined, so a band of n lines costs n entries a turn. Turns end once they find little. Then the lines of bands that still hold
+joined, so a band of n lines costs n entries a turn. Turns end once they find little, or once the pairs left number no more
+than FEW for each line and band. Then the lines of bands that still hold
 several components are joined with the band's lines of other components, behind the same bound: no pair that shares a
 band goes untested unless it lies within a component or can't reach the threshold.
 
@@ -35,13 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, release, store
+from quarry.llm.common import discard, release, spent, store
 from quarry.llm.components import components
 
 SHINGLE, PERCENT = 7, 80
 ROWS, BANDS, PARTS = 3, 2, 4
 #: 64-bit words of a sketch; partners that a line keeps in a turn, and turns at most.
 WORDS, TRIES, TURNS = 32, 1, 8
+#: Pairs a row of the open bands that cost no more than a turn.
+FEW = 16
 _SKETCH = [f"w{k}" for k in range(WORDS)]
 _random = random.Random(7)
 #: One mask a minimum; the top bits stay as they are, for they choose the part.
@@ -68,6 +71,11 @@ def _dealt(lines: DataFrame) -> DataFrame:
     return lines.repartition(2 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lid")
 
 
+def _set(units: str) -> Column:
+    """The different hashes of the units' shingles, within the row: a distinct() of exploded shingles costs several times that."""
+    return F.array_distinct(F.transform(_places(units), lambda place: _hash(F.col(units), place)))
+
+
 def _hashes(lines: DataFrame) -> DataFrame:
     """(lid, h) of every shingle of (lid, line)."""
     d = lines.select("lid", _units(F.col("line")).alias("units"))
@@ -99,12 +107,12 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def sketches(lines: DataFrame) -> DataFrame:
-    """(lid, n, sketch words w0 ..) of each line: the number of its different shingles, and their parities by hash block."""
-    d = _hashes(_dealt(lines)).distinct()
+    """(lid, n, words) of each line: the number of its different shingles, and their parities by hash block."""
+    d = _dealt(lines).select("lid", _units(F.col("line")).alias("units")).select("lid", F.explode(_set("units")).alias("h"))
     # bits from the top: five for the word, six for its bit
     d = d.select("lid", F.shiftrightunsigned("h", 59).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 53).cast("int")).alias("bit"))
     words = [F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(_SKETCH)]
-    return d.groupBy("lid").agg(F.count("*").cast("int").alias("n"), *words)
+    return d.groupBy("lid").agg(F.count("*").cast("int").alias("n"), *words).select("lid", "n", F.array(*_SKETCH).alias("words"))
 
 
 def banded(rows: DataFrame) -> DataFrame:
@@ -114,18 +122,33 @@ def banded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("shared", shared).filter("shared").drop("shared")
 
 
-def _open(bands: DataFrame, fine: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """The rows with their components and sketches, in the bands that hold several components."""
+def _several(bands: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The rows with their components, in the bands that hold several."""
     if groups is None:
-        return bands.withColumn("component", F.col("lid")).join(fine, "lid")
+        return bands.withColumn("component", F.col("lid"))
     marked = bands.join(groups, "lid", "left").withColumn("component", F.coalesce("component", "lid"))
     several = marked.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    return marked.join(several, "band", "left_semi").join(fine, "lid")
+    return marked.join(several, "band", "left_semi")
+
+
+def _open(bands: DataFrame, fine: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The same rows with their sketches."""
+    return _several(bands, groups).join(fine, "lid")
+
+
+def _few(several: DataFrame) -> bool:
+    """Whether the open bands hold at most FEW pairs of different components a row."""
+    own = several.groupBy("band", "component").agg(F.count("*").cast("double").alias("k"))
+    own = own.groupBy("band").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("inside"))
+    with spent(several.sparkSession):
+        rows, pairs = own.agg(F.sum("n"), F.sum(F.col("n") * F.col("n") - F.col("inside")) / 2).first()
+    return (pairs or 0) <= FEW * (rows or 0)
 
 
 def _differ(x, y) -> Column:
     """Number of hash blocks of which one line's count is even and the other's odd."""
-    return sum(F.bit_count(x(w).bitwiseXOR(y(w))) for w in _SKETCH)
+    # in arrays: as 32 columns, the code of a row was too long for the JVM to compile
+    return F.aggregate(F.zip_with(x("words"), y("words"), lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda n, k: n + k)
 
 
 def _possible(x, y) -> Column:
@@ -142,12 +165,13 @@ def _pairs(id: Column, other: Column) -> list[Column]:
 
 def candidates(marked: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
     """Distinct pairs (a, b) of each line with its likeliest partners among its bands' first and previous lines."""
-    mine = F.struct("lid", "n", "component", *_SKETCH)
+    mine = F.struct("lid", "n", "component", "words")
     w = W.partitionBy("band").orderBy(F.xxhash64("lid", F.lit(turn)), "lid")
-    both = marked.select("lid", "n", "component", *_SKETCH, F.lag(mine).over(w).alias("last"), F.first(mine).over(w).alias("first"))
-    of = [lambda c, side=side: F.col(side).getField(c) for side in ("last", "first")]
-    tries = [F.when((other("component") != F.col("component")) & _possible(F.col, other), F.struct(other("lid").alias("other"), _differ(F.col, other).alias("differ"))) for other in of]
-    able = both.select("lid", F.explode(F.array(*tries)).alias("pair")).filter("pair is not null").select("lid", "pair.*").distinct()
+    both = marked.select("lid", "n", "component", "words", F.lag(mine).over(w).alias("last"), F.first(mine).over(w).alias("first"))
+    both = both.select("lid", "n", "component", "words", F.explode(F.array("last", "first")).alias("other"))
+    of = lambda c: F.col("other").getField(c)
+    apart = both.filter(of("component") != F.col("component")).withColumn("differ", _differ(F.col, of))
+    able = apart.filter((100 + PERCENT) * F.col("differ") <= (100 - PERCENT) * (F.col("n") + of("n"))).select("lid", of("lid").alias("other"), "differ").distinct()
     best = able.withColumn("nth", F.row_number().over(W.partitionBy("lid").orderBy("differ", "other")))
     pairs = best.filter(F.col("nth") <= TRIES).select(*_pairs(F.col("lid"), F.col("other"))).distinct()
     return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
@@ -171,8 +195,8 @@ def linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs whose exact similarity reaches the threshold. Each line's set is worked out once, and sent as 32 bits a shingle: of
     two lines with 250 shingles one pair in 100,000 has a shingle taken for another."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    sets = _hashes(_dealt(lines.join(needed, "lid", "left_semi"))).select("lid", F.hash("h").alias("h")).distinct()
-    sets = store(sets.groupBy("lid").agg(F.collect_list("h").alias("s")), "line-sets")
+    sets = _dealt(lines.join(needed, "lid", "left_semi")).select("lid", _units(F.col("line")).alias("units"))
+    sets = store(sets.select("lid", F.array_distinct(F.transform(_set("units"), lambda h: F.hash(h))).alias("s")), "line-sets")
     release(pairs.sparkSession)
     a, b = (sets.select(F.col("lid").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     n = F.size("sa") + F.size("sb")
@@ -183,26 +207,33 @@ def linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return found
 
 
+def _joined(groups: DataFrame | None, new: DataFrame) -> DataFrame:
+    """(lid, component) of the groups and new links: a line's edge to its component's smallest stands for all links before."""
+    if groups is not None:
+        new = new.union(groups.select(F.col("lid").alias("a"), F.col("component").alias("b")))
+    return components(new).select(F.col("node").alias("lid"), "component")
+
+
 def groups_of(bands: DataFrame, fine: DataFrame, lines: DataFrame) -> DataFrame:
     """(lid, component) of the lines that are linked with another, from their bands, sketches and texts."""
     spark = bands.sparkSession
-    found = groups = tried = None
+    groups = tried = None
     held, known = [], 0
     for turn in range(TURNS):
         pairs = store(candidates(_open(bands, fine, groups), tried, turn), "line-pairs")
         held.append(pairs)
         release(spark)
         tried, new = pairs if tried is None else tried.union(pairs), linked(pairs, lines)
-        found, count = new if found is None else found.union(new), new.count()
+        count = new.count()
         known += count
         if count or groups is None:
-            groups = components(found).select(F.col("node").alias("lid"), "component")
-        if 50 * count < known or not count:  # what links remain are too few to be met this way
+            groups = _joined(groups, new)
+        if 50 * count < known or not count or _few(_several(bands, groups)):  # what links remain are too few to be met this way
             break
     rest = remaining(_open(bands, fine, groups), tried)
     release(spark)
     if not rest.isEmpty():
-        groups = components(found.union(linked(rest, lines))).select(F.col("node").alias("lid"), "component")
+        groups = _joined(groups, linked(rest, lines))
     for gone in (rest, *held):
         discard(gone)
     return groups

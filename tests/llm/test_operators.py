@@ -115,6 +115,16 @@ def test_line_dedup_recall_among_lines_of_a_long_template(spark):
     assert sum(got[i] for i in range(800)) == 0 and sum(got[800 + n] for n in range(200)) >= 198
 
 
+def test_line_dedup_tests_few_pairs_without_further_turns(spark, monkeypatch):
+    turns, before = [], lines.candidates
+    monkeypatch.setattr(lines, "candidates", lambda *a: turns.append(a[2]) or before(*a))
+    r = random.Random(8)
+    rows = ["".join(r.choice("abcdefgh ") for _ in range(80)) for _ in range(20)]
+    rows += [t + "_" for t in rows]
+    got = {x.doc_id: x.n_removed for x in lines.dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == {i: int(i >= 20) for i in range(40)} and turns == [0]
+
+
 def test_a_stored_table_leaves_no_shuffle_files(spark):
     files = lambda: set(re.findall(r"shuffle_\d+_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
     before = files()
