@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -125,6 +126,44 @@ def test_line_dedup_tests_few_pairs_without_further_turns(spark, monkeypatch):
     assert got == {i: int(i >= 20) for i in range(40)} and turns == [0]
 
 
+def test_line_dedup_costs_no_square_of_a_lines_length(spark):
+    """Two near copies of 400,000 characters: cutting each shingle from a copy of the whole line costs the square of its length."""
+    r = random.Random(9)
+    line = "".join(r.choice("abcdefghijklmnop ") for _ in range(400_000))
+    took = []
+    for n in (100, 400_000):
+        rows = spark.createDataFrame([(0, line[:n]), (1, line[:n] + "_")], "doc_id long, text string")
+        began = time.monotonic()
+        assert {x.doc_id: x.n_removed for x in lines.dedup(rows).collect()} == {0: 0, 1: 1}
+        took.append(time.monotonic() - began)
+    assert took[1] < took[0] + 15
+
+
+def test_line_dedup_leaves_out_lines_that_share_a_band_by_chance(spark):
+    near, far = (0x0102030405FF, 1, 2, 3), (0x010203040506, -2, -3, -4)
+    rows = [(1, 10, *near), (2, 10, *far), (3, 11, *near), (4, 11, 0x0102030405FE, 1, 2, 3)] + [(100 + i, 12, *[(i * 7919 + k) * 0x9E3779B97F4A % 2**48 for k in range(4)]) for i in range(lines.SMALL + 1)]
+    marked = spark.createDataFrame(rows, "lid long, band long, s0 long, s1 long, s2 long, s3 long").withColumn("component", F.col("lid"))
+    assert {x.lid for x in lines.promising(marked).collect()} == {3, 4} | {100 + i for i in range(lines.SMALL + 1)}
+
+
+def test_line_dedup_signatures_keep_pairs_at_the_threshold(spark):
+    r, k, rows = random.Random(10), lines.SHINGLE, []
+    for i in range(400):
+        t = [chr(r.randrange(0x4E00, 0x9000)) for _ in range(r.choice((12, 30, 60, 150)))]
+        s = {"".join(t[j : j + k]) for j in range(len(t) - k + 1)}
+        while True:  # as many characters more as the threshold allows
+            more = t + [chr(r.randrange(0x4E00, 0x9000))]
+            if 100 * len(s) < 80 * (len(more) - k + 1):
+                break
+            t = more
+        rows += [(2 * i, "".join(t[: len(s) + k - 1])), (2 * i + 1, "".join(t))]
+    signed = lines.signatures(spark.createDataFrame(rows, "lid long, line string").repartition("lid"))
+    x, y = (signed.select(F.shiftright("lid", 1).alias("i"), (F.col("lid") % 2).alias("o"), *(F.col(c).alias(f"{c}_{side}") for c in ("bands", *(f"s{p}" for p in range(4))))).filter(f"o = {o}").drop("o") for o, side in enumerate("xy"))
+    unlike = lines._unlike(*(lambda c, side=side: F.col(f"{c}_{side}") for side in "xy"))
+    got = x.join(y, "i").select(F.size(F.array_intersect(F.array_compact("bands_x"), F.array_compact("bands_y"))).alias("shared"), unlike.alias("unlike")).collect()
+    assert sum(g.shared > 0 for g in got) >= 380 and max(g.unlike for g in got if g.shared) <= lines.UNLIKE
+
+
 def test_a_stored_table_leaves_no_shuffle_files(spark):
     files = lambda: set(re.findall(r"shuffle_\d+_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
     before = files()
