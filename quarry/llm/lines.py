@@ -14,12 +14,13 @@ below the chance of sharing no band.
 
 Bands are worked on in turns. In each, lines are put in an order of the turn's own; a line is paired with its bands' first and
 previous lines of other components, a component keeps the TRIES pairs whose signatures are nearest, and these are verified and
-joined, so a band of n lines costs n entries a turn. Turns end once they find little, or once the pairs left number no more
-than FEW for each line and band.
+joined, so a band of n lines costs n entries a turn. Bands of up to SMALL lines take no further turn once the pairs left that
+their signatures allow number no more than FEW for each line and band, the larger once all their pairs left do, or once a turn
+finds little.
 
-Lines of bands that still hold several components get a sketch: the parity of the number of their different shingles in each of
-2048 hash blocks. Two sets differ in as many shingles as parities at least, so the sketches bound the similarity from above.
-The lines are joined with the band's lines of other components behind that bound, which never drops a linked pair: no pair
+Lines of the pairs left, if these number more than TESTS a line, and of larger bands with many, get a sketch: the parity of the
+number of their different shingles in each of 2048 hash blocks. Two sets differ in as many shingles as parities at least, so
+the sketches bound the similarity from above. Pairs are tested behind that bound, which never drops a linked pair: no pair
 that shares a band goes untested unless it lies within a component, can't reach the threshold or has too different signatures.
 
 At the threshold a pair shares a band with probability 1 - (1 - 0.8 ^ 3) ^ 8 = 0.997 (a little less for lines so short
@@ -51,6 +52,8 @@ ROWS, BANDS, PARTS = 3, 2, 4
 WORDS, TRIES, TURNS = 32, 1, 8
 #: Pairs a row of the open bands that cost no more than a turn.
 FEW = 1
+#: Pairs a line whose tests cost no more than the lines' sketches.
+TESTS = 2
 #: Of a pair's 24 minima, as many as may differ: for a turn, and for any test. At the threshold some 5 differ.
 LIKELY, UNLIKE = 8, 16
 #: Rows of a band that are compared each with each by their signatures.
@@ -147,14 +150,14 @@ def banded(signed: DataFrame) -> DataFrame:
 
 
 def promising(marked: DataFrame) -> DataFrame:
-    """The rows without those whose signatures are too different from all of other components in the band. Rows of bands of more
-    than SMALL stay, so that the cost is linear."""
+    """The rows without those whose signatures are too different from all of other components in the band, with the band's size
+    before. Rows of bands of more than SMALL stay, so that the cost is linear."""
     rows = store(marked.withColumn("size", F.count("*").over(W.partitionBy("band"))), "line-open")
     small = rows.filter(F.col("size") <= SMALL)
     other = small.select("band", *(F.col(c).alias(f"{c}_y") for c in ("component", *_SIGNATURE)))
     near = (F.col("component") != F.col("component_y")) & (_unlike(F.col, lambda s: F.col(f"{s}_y")) <= UNLIKE)
     kept = small.join(other.withColumnRenamed("band", "band_y"), (F.col("band") == F.col("band_y")) & near, "left_semi")
-    found = store(kept.union(rows.filter(F.col("size") > SMALL)).drop("size"), "line-open")
+    found = store(kept.union(rows.filter(F.col("size") > SMALL)), "line-open")
     discard(rows)
     release(marked.sparkSession)
     return found
@@ -221,16 +224,31 @@ def candidates(marked: DataFrame, tried: DataFrame | None, turn: int) -> DataFra
     return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def remaining(marked: DataFrame, lines: DataFrame, tried: DataFrame) -> DataFrame:
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[Callable[[str], Column]]]:
+    """The rows twice, with their columns named for the side, and for each side what gives a column of it."""
+    x, y = (rows.select(*(F.col(c).alias(f"{c}_{side}") for c in rows.columns)) for side in "xy")
+    return x, y, [lambda c, side=side: F.col(f"{c}_{side}") for side in "xy"]
+
+
+def near(marked: DataFrame, tried: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different components in a band besides those tried, as far as their signatures allow."""
+    x, y, of = _sides(marked.select("lid", "band", "component", *_SIGNATURE))
+    both = x.join(y, F.col("band_x") == F.col("band_y")).filter((F.col("component_x") < F.col("component_y")) & (_unlike(*of) <= UNLIKE))
+    return both.select(*_pairs(F.col("lid_x"), F.col("lid_y"))).distinct().join(tried, ["a", "b"], "left_anti")
+
+
+def within(pairs: DataFrame, fine: DataFrame) -> DataFrame:
+    """The pairs, as far as their lines' sketches allow."""
+    x, y, of = _sides(fine)
+    return pairs.join(x, F.col("a") == F.col("lid_x")).join(y, F.col("b") == F.col("lid_y")).filter(_possible(*of)).select("a", "b")
+
+
+def crowded(marked: DataFrame, fine: DataFrame, tried: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of different components besides those tried, as far as the bounds allow. A pair that also shares one
-    of the one or two open bands before is left to those."""
-    fine = store(sketches(lines.join(marked.select("lid").distinct(), "lid", "left_semi")), "line-sketches")
-    release(marked.sparkSession)
+    of the one or two bands before is left to those."""
     before = W.partitionBy("lid").orderBy("band")
     open_ = store(marked.withColumns({f"p{k}": F.lag("band", k).over(before) for k in (1, 2)}).join(fine, "lid"), "line-open")
-    discard(fine)
-    x, y = (open_.select(*(F.col(c).alias(f"{c}_{side}") for c in open_.columns)) for side in "xy")
-    of = [lambda c, side=side: F.col(f"{c}_{side}") for side in "xy"]
+    x, y, of = _sides(open_)
     met = F.coalesce((F.col("p1_x") == F.col("p1_y")) | (F.col("p1_x") == F.col("p2_y")) | (F.col("p2_x") == F.col("p1_y")) | (F.col("p2_x") == F.col("p2_y")), F.lit(False))
     both = x.join(y, F.col("band_x") == F.col("band_y"))
     both = both.filter((F.col("component_x") < F.col("component_y")) & ~met & (_unlike(*of) <= UNLIKE) & _possible(*of))
@@ -239,6 +257,33 @@ def remaining(marked: DataFrame, lines: DataFrame, tried: DataFrame) -> DataFram
     return found
 
 
+def remaining(beside: DataFrame, wide: DataFrame, lines: DataFrame, tried: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) to test: those of small bands, `beside`, and those of the larger bands' rows, `wide`, as far as the
+    bounds allow."""
+    spark = lines.sparkSession
+    ends = beside.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
+    with spent(spark):
+        many, packed = beside.count() > TESTS * ends.count(), not _few(wide)
+    held, parts = [], []
+    if many or packed:
+        which = ends if not packed else wide.select("lid") if not many else ends.union(wide.select("lid"))
+        fine = store(sketches(lines.join(which.distinct(), "lid", "left_semi")), "line-sketches")
+        held.append(fine)
+        release(spark)
+    parts.append(within(beside, fine) if many else beside)
+    if packed:
+        held.append(crowded(wide, fine, tried))
+        parts.append(held[-1])
+        release(spark)
+    else:
+        parts.append(near(wide, tried))
+    found = store(parts[0].union(parts[1]).distinct(), "line-pairs")
+    for gone in held:
+        discard(gone)
+    release(spark)
+    return found
+
+
 def linked(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs whose exact similarity reaches the threshold. Texts are sent, as a set takes four bytes a character; sets are
     made in the pair's row as 32 bits a shingle: of two lines with 250 shingles one pair in 100,000 has a shingle taken for another."""
@@ -262,7 +307,7 @@ def _joined(groups: DataFrame | None, new: DataFrame) -> DataFrame:
 def groups_of(bands: DataFrame, lines: DataFrame) -> DataFrame:
     """(lid, component) of the lines that are linked with another, from their bands with signatures and their texts."""
     spark = bands.sparkSession
-    groups = tried = None
+    groups = tried = beside = None
     held, known, open_ = [], 0, bands
     for turn in range(TURNS):
         pairs = store(candidates(open_, tried, turn), "line-pairs")
@@ -276,9 +321,18 @@ def groups_of(bands: DataFrame, lines: DataFrame) -> DataFrame:
         open_ = store(_several(open_, groups), "line-open")  # a band that holds one component stays so
         held.append(open_)
         release(spark)
-        if 10 * count < known or not count or _few(open_):  # what links remain are too few to be met this way
+        last = 10 * count < known or not count or turn == TURNS - 1  # what links remain are too few to be met this way
+        if beside is None:
+            beside = store(near(open_.filter(F.col("size") <= SMALL), tried), "line-near")  # out of SMALL / 2 a row at most
+            held.append(beside)
+            release(spark)
+            if last or beside.count() <= FEW * open_.count():  # another turn would cost as much as these pairs
+                open_ = open_.filter(F.col("size") > SMALL)
+            else:
+                beside = None
+        if last or (beside is not None and _few(open_)):
             break
-    rest = remaining(open_, lines, tried)
+    rest = remaining(beside, open_, lines, tried)
     release(spark)
     if not rest.isEmpty():
         groups = _joined(groups, linked(rest, lines))

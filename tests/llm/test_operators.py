@@ -126,6 +126,24 @@ def test_line_dedup_tests_few_pairs_without_further_turns(spark, monkeypatch):
     assert got == {i: int(i >= 20) for i in range(40)} and turns == [0]
 
 
+def test_line_dedup_takes_only_large_bands_to_further_turns(spark, monkeypatch):
+    """Lines of one template stay open for further turns; unlinked pairs that share a band, two lines each, don't."""
+    seen, before = {}, lines.candidates
+    monkeypatch.setattr(lines, "candidates", lambda *a: seen.update({a[2]: {x.lid for x in a[0].select("lid").collect()}}) or before(*a))
+    r = random.Random(11)
+    text = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    template, pairs = text(100), []
+    for _ in range(20):
+        t = text(100)
+        pairs += [t + text(20), t + text(20)]  # 94 of 134 shingles
+    tails = [text(14) for _ in range(100)]
+    rows = [*pairs, *(template + t for t in tails), *(template + t[:7] + "_" + t[8:] for t in tails)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {x.doc_id: x.n_removed for x in lines.dedup(docs).collect()} == {i: int(i >= 140) for i in range(240)}
+    apart = {x.lid for x in docs.filter("doc_id < 40").select(F.xxhash64("text").alias("lid")).collect()}
+    assert len(seen) > 1 and seen[0] & apart and not any(seen[turn] & apart for turn in seen if turn)
+
+
 def test_line_dedup_costs_no_square_of_a_lines_length(spark):
     """Two near copies of 400,000 characters: cutting each shingle from a copy of the whole line costs the square of its length."""
     r = random.Random(9)
